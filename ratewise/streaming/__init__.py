@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The analytics this package reproduces are batch only (no sources, watermarks,
+state or late data exist in them), so no streaming operator is provided.
+"""
