@@ -491,3 +491,77 @@ UNION ALL SELECT review_id, stars FROM ratings WHERE is_test"""))
 def u1_union_all(spark, sf):
     _, train, test = _split(spark, sf)
     return train.select("review_id", "stars").unionByName(test.select("review_id", "stars"))
+
+
+# ---------------------------------------------------------------- ALS (not SQL-expressible: rows-only checks)
+
+def _als(spark, sf, **kw):
+    from ratewise.plans.recommender import RecommenderConfig, run_recommender
+
+    _, train, test = _split(spark, sf)
+    return run_recommender(train, test, RecommenderConfig(**kw))
+
+
+@register("m4_als_predictions")
+def m4_als_predictions(spark, sf):
+    res = _als(spark, sf)
+    return res.scored.select("review_id", "has_prediction", "prediction", "final_rating", "fallback_rating")
+
+
+@register("m5_predict_drop")
+def m5_predict_drop(spark, sf):
+    from ratewise.operators.recommend import predict_als
+
+    res = _als(spark, sf)
+    return predict_als(res.model, res.test_indexed, cold="drop").select("review_id", "prediction")
+
+
+@register("m11_als_report")
+def m11_als_report(spark, sf):
+    from ratewise.plans.recommender import metrics
+
+    return metrics(_als(spark, sf))
+
+
+@register("m12_sweep")
+def m12_sweep(spark, sf):
+    from ratewise.plans.recommender import sweep
+
+    return sweep(spark, sf, [dict(rank=5, reg=0.1), dict(rank=10, reg=0.1), dict(rank=10, reg=0.01)])
+
+
+@register("m31_item_factors")
+def m31_item_factors(spark, sf):
+    from ratewise.operators.recommend import item_factors
+
+    res = _als(spark, sf)
+    return item_factors(res.model).select(F.col("id").alias("business_ix"), F.size("features").alias("rank"),
+                                          "features")
+
+
+@register("m32_als_rank10_iter10")
+def m32_als_rank10_iter10(spark, sf):
+    from ratewise.plans.recommender import metrics
+
+    return metrics(_als(spark, sf, rank=10, max_iter=10))
+
+
+@register("m20_recommend_top_n")
+def m20_recommend_top_n(spark, sf):
+    from ratewise.operators.recommend import recommend_top_n
+
+    return recommend_top_n(_als(spark, sf).model, 5)
+
+
+@register("s12_model_roundtrip")
+def s12_model_roundtrip(spark, sf):
+    from ratewise.operators.recommend import load_model, predict_als, save_model
+    from ratewise.session import shared_path
+
+    res = _als(spark, sf)
+    path = save_model(res.model, shared_path(spark, "als-model"))
+    back = load_model(path)
+    # The reloaded model must reproduce the fitted model's predictions.
+    again = predict_als(back, res.test_indexed, cold="drop").select(
+        "review_id", F.col("prediction").alias("prediction_loaded"))
+    return res.scored.where("has_prediction").select("review_id", "prediction").join(again, "review_id")
