@@ -565,3 +565,132 @@ def s12_model_roundtrip(spark, sf):
     again = predict_als(back, res.test_indexed, cold="drop").select(
         "review_id", F.col("prediction").alias("prediction_loaded"))
     return res.scored.where("has_prediction").select("review_id", "prediction").join(again, "review_id")
+
+
+# ---------------------------------------------------------------- clustering
+
+K_CLUSTERS = 8
+CLUSTER_CATEGORY = "ECONOMY"
+
+# Planted clusters named in canonical order (by centre longitude, latitude).
+PLANT_NAMES = """plants AS (
+  SELECT plant, chr(64 + CAST(row_number() OVER (ORDER BY avg(longitude), avg(latitude)) AS INTEGER)) AS cluster_name,
+         count(*) AS n, avg(longitude) AS clon, avg(latitude) AS clat,
+         sum(longitude * longitude + latitude * latitude) AS psi
+  FROM city_biz GROUP BY plant),
+assigned AS (SELECT b.*, p.cluster_name FROM city_biz b JOIN plants p USING (plant))"""
+
+
+def _city_points(spark, sf):
+    from ratewise.operators.cluster import assemble
+
+    return assemble(P.filter_city(V.business(spark, sf), CITY_NAME, CITY_EXCLUDE))
+
+
+def _clustered(spark, sf, k=K_CLUSTERS):
+    from ratewise.operators.cluster import assign, fit_kmeans
+
+    pts = _city_points(spark, sf)
+    cl = fit_kmeans(pts, k)
+    return cl, assign(cl, pts)
+
+
+@register("m13_assemble")
+def m13_assemble(spark, sf):
+    return _city_points(spark, sf).select("business_id", "features")
+
+
+@register("m15_assign", with_views("SELECT business_id, cluster_name FROM assigned", CITY, PLANT_NAMES))
+def m15_assign(spark, sf):
+    _, a = _clustered(spark, sf)
+    return a.select("business_id", "cluster_name")
+
+
+@register("m15_nearest_centroid", with_views("SELECT business_id, cluster_name FROM assigned", CITY, PLANT_NAMES))
+def m15_nearest_centroid(spark, sf):
+    from ratewise.operators.cluster import centroids, nearest_centroid
+
+    cl, _ = _clustered(spark, sf)
+    pts = P.filter_city(V.business(spark, sf), CITY_NAME, CITY_EXCLUDE)
+    return nearest_centroid(pts, centroids(spark, cl)).select("business_id", "cluster_name")
+
+
+@register("m14_kmeans_centres", with_views("""
+SELECT cluster_name, round(clon, 6) AS longitude, round(clat, 6) AS latitude FROM plants""", CITY, PLANT_NAMES))
+def m14_kmeans_centres(spark, sf):
+    from ratewise.operators.cluster import centroids
+
+    cl, _ = _clustered(spark, sf)
+    return _r(centroids(spark, cl), "longitude", "latitude")
+
+
+@register("m16_silhouette", with_views("""
+SELECT round(avg(s), 4) AS silhouette FROM (
+  SELECT a.business_id,
+         CASE WHEN p.n = 1 THEN 0.0
+              WHEN own.d * p.n / (p.n - 1) < o.dmin THEN 1 - (own.d * p.n / (p.n - 1)) / o.dmin
+              WHEN own.d * p.n / (p.n - 1) > o.dmin THEN o.dmin / (own.d * p.n / (p.n - 1)) - 1
+              ELSE 0.0 END AS s
+  FROM assigned a JOIN plants p USING (cluster_name)
+  JOIN (SELECT a.business_id,
+               a.longitude * a.longitude + a.latitude * a.latitude + q.psi / q.n
+               - 2 * (a.longitude * q.clon + a.latitude * q.clat) AS d
+        FROM assigned a JOIN plants q ON a.cluster_name = q.cluster_name) own USING (business_id)
+  JOIN (SELECT a.business_id,
+               min(a.longitude * a.longitude + a.latitude * a.latitude + q.psi / q.n
+                   - 2 * (a.longitude * q.clon + a.latitude * q.clat)) AS dmin
+        FROM assigned a JOIN plants q ON a.cluster_name <> q.cluster_name GROUP BY a.business_id) o USING (business_id))
+""", CITY, PLANT_NAMES))
+def m16_silhouette(spark, sf):
+    from ratewise.operators.cluster import silhouette
+
+    _, a = _clustered(spark, sf)
+    return spark.range(1).select(F.round(F.lit(silhouette(a)), 4).alias("silhouette"))
+
+
+@register("a8_cluster_sizes", with_views(
+    "SELECT cluster_name, count(*) AS n FROM assigned GROUP BY cluster_name ORDER BY n DESC", CITY, PLANT_NAMES))
+def a8_cluster_sizes(spark, sf):
+    from ratewise.operators.cluster import cluster_sizes
+
+    _, a = _clustered(spark, sf)
+    return cluster_sizes(a)
+
+
+@register("a9_category_per_cluster", with_views(f"""
+SELECT cluster_name, count(*) AS n FROM assigned WHERE category = '{CLUSTER_CATEGORY}'
+GROUP BY cluster_name ORDER BY n DESC""", CITY, PLANT_NAMES))
+def a9_category_per_cluster(spark, sf):
+    from ratewise.operators.cluster import category_per_cluster
+
+    _, a = _clustered(spark, sf)
+    return category_per_cluster(a, CLUSTER_CATEGORY)
+
+
+@register("m18_cluster_profile", with_views(f"""
+SELECT cluster_name, count(*) AS n, count_if(category = '{CLUSTER_CATEGORY}') AS n_category,
+       round(avg(longitude), 6) AS mean_longitude, round(avg(latitude), 6) AS mean_latitude
+FROM assigned GROUP BY cluster_name""", CITY, PLANT_NAMES))
+def m18_cluster_profile(spark, sf):
+    from ratewise.operators.cluster import cluster_profile
+
+    _, a = _clustered(spark, sf)
+    return _r(cluster_profile(a, CLUSTER_CATEGORY), "mean_longitude", "mean_latitude")
+
+
+@register("m19_kmeans_sweep")
+def m19_kmeans_sweep(spark, sf):
+    from ratewise.operators.cluster import kmeans_sweep
+
+    return kmeans_sweep(_city_points(spark, sf), ks=(4, 5, 6, 7, 8))
+
+
+@register("s11_centroid_roundtrip", with_views("""
+SELECT cluster_name, round(clon, 6) AS longitude, round(clat, 6) AS latitude FROM plants""", CITY, PLANT_NAMES))
+def s11_centroid_roundtrip(spark, sf):
+    from ratewise.operators.cluster import centroids, read_centroids, write_centroids
+    from ratewise.session import shared_path
+
+    cl, _ = _clustered(spark, sf)
+    path = write_centroids(centroids(spark, cl), shared_path(spark, "centroids"))
+    return _r(read_centroids(spark, path), "longitude", "latitude")
