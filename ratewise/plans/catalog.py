@@ -694,3 +694,367 @@ def s11_centroid_roundtrip(spark, sf):
     cl, _ = _clustered(spark, sf)
     path = write_centroids(centroids(spark, cl), shared_path(spark, "centroids"))
     return _r(read_centroids(spark, path), "longitude", "latitude")
+
+
+# ---------------------------------------------------------------- rating matrix
+
+MAX_CHUNK = 100_000
+STAR_LEVELS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
+
+MATRIX = """mrows AS (SELECT business_id, CAST(row_number() OVER (ORDER BY business_id) - 1 AS INTEGER) AS row_ix
+          FROM (SELECT DISTINCT business_id FROM ratings)),
+mcols AS (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id DESC) - 1 AS INTEGER) AS col_ix
+          FROM (SELECT DISTINCT user_id FROM ratings)),
+entries AS (SELECT business_id, user_id, row_ix, col_ix, max(stars) AS value
+            FROM ratings JOIN mrows USING (business_id) JOIN mcols USING (user_id)
+            GROUP BY business_id, user_id, row_ix, col_ix)"""
+
+CHUNKS = f"""iix AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS iix FROM (SELECT DISTINCT user_id FROM ratings)),
+cnt AS (SELECT business_id, count(*) AS cnt FROM ratings GROUP BY business_id),
+chunked AS (SELECT r.business_id, r.user_id, r.stars,
+                   CAST(floor(iix.iix * ceil(cnt.cnt / {MAX_CHUNK}) / (SELECT count(*) FROM iix)) AS INTEGER) AS chunk
+            FROM ratings r JOIN iix USING (user_id) JOIN cnt USING (business_id))"""
+
+_SVD_MEMO: dict = {}
+
+
+def _entries(spark, sf):
+    from ratewise.operators.matrix import rating_entries
+
+    return rating_entries(V.ratings(spark, sf))
+
+
+def _svd(spark, sf, k=2):
+    from ratewise.operators.matrix import truncated_svd
+    from ratewise.session import materialise
+
+    key = (id(spark), sf, k)
+    if key not in _SVD_MEMO:
+        e = materialise(_entries(spark, sf).select("row_ix", "col_ix", "value"), "entries")
+        _SVD_MEMO[key] = (e, truncated_svd(e, k))
+    return _SVD_MEMO[key]
+
+
+def _rows(spark, sf):
+    from ratewise.operators.matrix import rows_by_item
+
+    return rows_by_item(V.ratings(spark, sf), max_chunk=MAX_CHUNK)
+
+
+@register("m21_densify_entries", with_views(
+    "SELECT business_id, user_id, row_ix, col_ix, value FROM entries", MATRIX))
+def m21_densify_entries(spark, sf):
+    return _entries(spark, sf)
+
+
+@register("j5_align_users", with_views(
+    "SELECT business_id, col_ix, value FROM entries", MATRIX))
+def j5_align_users(spark, sf):
+    return _entries(spark, sf).select("business_id", "col_ix", "value")
+
+
+@register("f7_fill_missing_zero", with_views("""
+SELECT business_id, (SELECT count(*) FROM mcols) AS row_length, count(*) AS n_rated,
+       (SELECT count(*) FROM mcols) - count(*) AS n_zero
+FROM entries GROUP BY business_id""", MATRIX))
+def f7_fill_missing_zero(spark, sf):
+    e = _entries(spark, sf)
+    n_cols = e.select("user_id").distinct().agg(F.count(F.lit(1))).scalar()
+    return e.groupBy("business_id").agg(F.count(F.lit(1)).alias("n_rated")).select(
+        "business_id", n_cols.alias("row_length"), "n_rated", (n_cols - F.col("n_rated")).alias("n_zero"))
+
+
+@register("a10_rows_by_item", with_views("""
+SELECT business_id, chunk, count(*) AS n_pairs,
+       string_agg(user_id || ':' || CAST(stars AS VARCHAR), ',' ORDER BY user_id DESC, stars DESC) AS pairs
+FROM chunked GROUP BY business_id, chunk""", CHUNKS))
+def a10_rows_by_item(spark, sf):
+    r = _rows(spark, sf)
+    text = F.array_join(F.transform("pairs", lambda x: F.concat(x["user_id"], F.lit(":"), x["stars"].cast("string"))),
+                        ",")
+    return r.select("business_id", "chunk", F.size("pairs").cast("long").alias("n_pairs"), text.alias("pairs"))
+
+
+@register("t3_sort_row", with_views("""
+SELECT business_id, chunk, CAST(row_number() OVER (PARTITION BY business_id, chunk ORDER BY user_id DESC, stars DESC) - 1 AS INTEGER) AS pos,
+       user_id, stars FROM chunked""", CHUNKS))
+def t3_sort_row(spark, sf):
+    """T3 + F5: the sorted row list exploded back to (position, user, rating)."""
+    r = _rows(spark, sf)
+    return r.select("business_id", "chunk", F.posexplode("pairs").alias("pos", "pair")).select(
+        "business_id", "chunk", "pos", "pair.user_id", "pair.stars")
+
+
+@register("f6_row_values", with_views("""
+SELECT business_id, chunk, string_agg(CAST(stars AS VARCHAR), ',' ORDER BY user_id DESC, stars DESC) AS row_values
+FROM chunked GROUP BY business_id, chunk""", CHUNKS))
+def f6_row_values(spark, sf):
+    from ratewise.functions.columns import pair_values
+
+    r = _rows(spark, sf)
+    vals = F.array_join(F.transform(pair_values("pairs", "stars"), lambda x: x.cast("string")), ",")
+    return r.select("business_id", "chunk", vals.alias("row_values"))
+
+
+@register("f11_pairs_to_map", with_views("""
+SELECT business_id, count(*) AS n_keys, round(sum(value), 6) AS value_sum FROM entries GROUP BY business_id""", MATRIX))
+def f11_pairs_to_map(spark, sf):
+    from ratewise.functions.columns import pairs_to_map
+
+    e = _entries(spark, sf)
+    m = e.groupBy("business_id").agg(pairs_to_map(F.collect_list(F.struct("user_id", F.col("value").alias("rating"))))
+                                     .alias("m"))
+    return m.select("business_id", F.size("m").cast("long").alias("n_keys"),
+                    round6(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x)).alias("value_sum"))
+
+
+@register("a11_pivot_star_levels", with_views(
+    "SELECT business_id, " + ", ".join(f'count(*) FILTER (WHERE stars = {v}) AS "{v}"' for v in STAR_LEVELS)
+    + " FROM ratings GROUP BY business_id"))
+def a11_pivot_star_levels(spark, sf):
+    from ratewise.operators.matrix import pivot_ratings
+
+    return pivot_ratings(V.ratings(spark, sf), "business_id", "stars", STAR_LEVELS, agg="count", fill=0)
+
+
+PCA2 = """s2 AS (SELECT var_samp(l_quantity) AS a, var_samp(l_linenumber) AS c, covar_samp(l_quantity, l_linenumber) AS b
+       FROM lineitem),
+e2 AS (SELECT (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1,
+              (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l2, a + c AS t FROM s2)"""
+
+
+def _pca2(spark, sf):
+    from ratewise.operators.matrix import assemble, pca
+
+    li = V.table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double"),
+                                                F.col("l_linenumber").cast("double"))
+    model = pca(assemble(li, ["l_quantity", "l_linenumber"]), 2)
+    shares = [float(x) for x in model.explainedVariance]
+    df = spark.createDataFrame([(i + 1, s) for i, s in enumerate(shares)], "component int, share double")
+    from pyspark.sql import Window
+
+    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("cumulative", F.sum("share").over(w))
+
+
+@register("m24_explained_variance", with_views("""
+SELECT 1 AS component, round(l1 / t, 6) AS share, round(l1 / t, 6) AS cumulative FROM e2
+UNION ALL SELECT 2, round(l2 / t, 6), round((l1 + l2) / t, 6) FROM e2""", PCA2))
+def m24_explained_variance(spark, sf):
+    return _r(_pca2(spark, sf), "share", "cumulative")
+
+
+@register("a17_cumulative_share", with_views("""
+SELECT 1 AS component, round(l1 / t, 6) AS cumulative FROM e2
+UNION ALL SELECT 2, round((l1 + l2) / t, 6) FROM e2""", PCA2))
+def a17_cumulative_share(spark, sf):
+    return _r(_pca2(spark, sf).select("component", "cumulative"), "cumulative")
+
+
+@register("m24b_choose_k", with_views(
+    "SELECT CASE WHEN l1 / t > 0.95 THEN 1 ELSE 2 END AS k FROM e2", PCA2))
+def m24b_choose_k(spark, sf):
+    from ratewise.operators.matrix import choose_k
+
+    return choose_k(_pca2(spark, sf), 0.95)
+
+
+@register("m28_standardise", with_views("""
+SELECT l_orderkey, l_linenumber,
+       round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS z_l_quantity,
+       round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) AS z_l_extendedprice
+FROM lineitem"""))
+def m28_standardise(spark, sf):
+    from ratewise.operators.matrix import standardise
+
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    z = standardise(li, ["l_quantity", "l_extendedprice"])
+    return _r(z.select("l_orderkey", "l_linenumber", "z_l_quantity", "z_l_extendedprice"),
+              "z_l_quantity", "z_l_extendedprice")
+
+
+@register("m22_coordinate_matrix")
+def m22_coordinate_matrix(spark, sf):
+    from ratewise.operators.matrix import to_coordinate_matrix
+
+    e, _ = _svd(spark, sf)
+    cm = to_coordinate_matrix(e)
+    return spark.createDataFrame([(int(cm.numRows()), int(cm.numCols()))], "n_rows long, n_cols long")
+
+
+@register("m23_svd_spectrum")
+def m23_svd_spectrum(spark, sf):
+    from ratewise.operators.matrix import explained_variance
+
+    _, svd = _svd(spark, sf)
+    return explained_variance(spark, svd.s, svd.n_rows, total=svd.frobenius2)
+
+
+@register("m24_topk_relative_share")
+def m24_topk_relative_share(spark, sf):
+    """The original report's figure: shares relative to the k kept values (last is 1.0)."""
+    from ratewise.operators.matrix import explained_variance
+
+    _, svd = _svd(spark, sf)
+    return explained_variance(spark, svd.s, svd.n_rows, total=None)
+
+
+@register("m25_component_scores")
+def m25_component_scores(spark, sf):
+    from ratewise.operators.matrix import scores
+
+    _, svd = _svd(spark, sf)
+    return scores(spark, svd)
+
+
+@register("m29_project_observed")
+def m29_project_observed(spark, sf):
+    from ratewise.operators.matrix import project
+
+    e, svd = _svd(spark, sf)
+    return project(e, svd.v, len(svd.s))
+
+
+@register("m30_cluster_rows")
+def m30_cluster_rows(spark, sf):
+    """Businesses clustered by their rating rows, in the reduced (SVD score) space."""
+    from ratewise.operators.cluster import assemble as assemble_xy, assign, cluster_sizes, fit_kmeans
+    from ratewise.operators.matrix import scores
+
+    _, svd = _svd(spark, sf)
+    sc = assemble_xy(scores(spark, svd), ["pc_1", "pc_2"])
+    cl = fit_kmeans(sc, 4, seeds=(1, 2, 3))
+    return cluster_sizes(assign(cl, sc))
+
+
+@register("f10_array_to_vector")
+def f10_array_to_vector(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    from ratewise.operators.matrix import vectors
+
+    v = vectors(V.table(spark, sf, "embeddings"), "embedding")
+    return v.select("vec_id", F.size(vector_to_array("features")).alias("dim"))
+
+
+@register("m26_pca_embeddings")
+def m26_pca_embeddings(spark, sf):
+    from ratewise.operators.matrix import pca, vectors
+
+    model = pca(vectors(V.table(spark, sf, "embeddings"), "embedding"), 4)
+    shares = [float(x) for x in model.explainedVariance]
+    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(shares)], "component int, share double")
+
+
+@register("m27_pca_project")
+def m27_pca_project(spark, sf):
+    from ratewise.operators.matrix import pca, pca_project, vectors
+
+    emb = vectors(V.table(spark, sf, "embeddings"), "embedding")
+    model = pca(emb, 4)
+    return pca_project(model, emb).select("vec_id", "projection")
+
+
+@register("m20_grid_spectrum")
+def m20_grid_spectrum(spark, sf):
+    """Spectrum of the full predicted user x business grid from factor Gram matrices."""
+    from ratewise.operators.matrix import explained_variance, grid_spectrum
+
+    res = _als(spark, sf)
+    rank = res.config.rank
+    mu = res.bias.mu
+    items = res.model.itemFactors.join(res.items, F.col("id") == F.col("business_ix")).select(
+        F.concat(F.col("features"), F.array(F.lit(1.0), (F.col("business_mean") - mu))).alias("f"))
+    users = res.model.userFactors.join(res.users, F.col("id") == F.col("user_ix")).select(
+        F.concat(F.col("features"), F.array(F.col("user_mean"), F.lit(1.0))).alias("f"))
+    s, total = grid_spectrum(items, users, rank + 2)
+    n_items = res.items.count()
+    return explained_variance(spark, s[:5], n_items, total=total)
+
+
+# ---------------------------------------------------------------- file sources and sinks (write, read back)
+
+def _out(spark, name):
+    from ratewise.session import shared_path
+
+    return shared_path(spark, name)
+
+
+def _reviews(spark, sf):
+    return V.ratings(spark, sf).select("review_id", "user_id", "business_id", "stars")
+
+
+REVIEW_ROWS = "SELECT review_id, user_id, business_id, stars FROM ratings"
+
+
+@register("s1_review_json_roundtrip", with_views(REVIEW_ROWS))
+def s1_review_json_roundtrip(spark, sf):
+    from ratewise.sources.io import read_reviews, write_json
+
+    path = write_json(_reviews(spark, sf), _out(spark, "reviews-json"))
+    return read_reviews(spark, path).select("review_id", "user_id", "business_id", "stars")
+
+
+@register("s2_business_json_roundtrip", with_views("""
+SELECT business_id, name, city, category AS first_category, round(longitude, 6) AS longitude FROM business"""))
+def s2_business_json_roundtrip(spark, sf):
+    from ratewise.sources.io import read_business, write_json
+
+    path = write_json(V.business_nested(spark, sf), _out(spark, "business-json"))
+    b = read_business(spark, path)
+    return b.select("business_id", "name", "city", first_item("categories").alias("first_category"),
+                    round6("longitude").alias("longitude"))
+
+
+@register("s6_nested_csv_roundtrip", with_views("""
+SELECT business_id, name, city, '["' || category || '","' || p_brand || '"]' AS categories
+FROM business JOIN part ON business_id = concat('b', CAST(p_partkey AS STRING))"""))
+def s6_nested_csv_roundtrip(spark, sf):
+    from ratewise.sources.io import read_csv, write_csv
+
+    path = write_csv(V.business_nested(spark, sf), _out(spark, "business-csv"))
+    return read_csv(spark, path).select("business_id", "name", "city", "categories")
+
+
+@register("s8_concat_files", with_views(REVIEW_ROWS))
+def s8_concat_files(spark, sf):
+    from ratewise.sources.io import concat_files, read_reviews, write_json
+
+    _, train, test = _split(spark, sf)
+    cols = ["review_id", "user_id", "business_id", "stars"]
+    a = write_json(train.select(*cols), _out(spark, "chunk-a"))
+    b = write_json(test.select(*cols), _out(spark, "chunk-b"))
+    out = concat_files(spark, [a, b], _out(spark, "concat"))
+    return read_reviews(spark, out).select(*cols)
+
+
+@register("s9_chunk_files", with_views(REVIEW_ROWS))
+def s9_chunk_files(spark, sf):
+    from ratewise.sources.io import chunk_files, read_reviews
+
+    path = chunk_files(_reviews(spark, sf), _out(spark, "chunks"), rows_per_file=5000)
+    return read_reviews(spark, path).select("review_id", "user_id", "business_id", "stars")
+
+
+@register("s13_preview", with_views(
+    "SELECT review_id, stars FROM ratings ORDER BY stars DESC, review_id LIMIT 20"))
+def s13_preview(spark, sf):
+    from ratewise.sources.io import preview
+
+    return preview(V.ratings(spark, sf).select("review_id", "stars"), 20, [F.desc("stars"), F.asc("review_id")])
+
+
+@register("s15_text_roundtrip", with_views(REVIEW_ROWS))
+def s15_text_roundtrip(spark, sf):
+    from ratewise.sources.io import REVIEW, read_text_json, write_text
+
+    path = write_text(_reviews(spark, sf), _out(spark, "reviews-text"))
+    return read_text_json(spark, path, REVIEW).select("review_id", "user_id", "business_id", "stars")
+
+
+@register("s16_parquet_roundtrip", with_views(REVIEW_ROWS))
+def s16_parquet_roundtrip(spark, sf):
+    from ratewise.sources.io import write_parquet
+
+    path = write_parquet(_reviews(spark, sf), _out(spark, "reviews-parquet"))
+    return spark.read.parquet(path)
