@@ -1,0 +1,204 @@
+"""Property, golden and brute-force tests (SURVEY §5 (b)-(d), FIXTURES §3)."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from ratewise.functions.columns import first_item, strip_ws
+from ratewise.operators import matrix as M
+from ratewise.operators.cluster import nearest_centroid, read_centroids
+from ratewise.operators.split import dense_index
+from ratewise.sources import views as V
+
+# Goldens G1-G3 (input rows and expected principal components / shares).
+G1_ROWS = [[0, 1, 0, 7, 0], [2, 0, 3, 4, 5], [4, 0, 0, 6, 7]]
+G1_PC = [[-0.448591721, -0.284238082], [0.133019857, -0.056211559], [-0.125231564, 0.763626477],
+         [0.216507567, -0.565295877], [-0.847651293, -0.115603405]]
+G1_PROJ = [(1.6486, -4.0133), (-4.6451, -1.1168), (-6.4289, -5.3380)]
+G2_SHARES = [0.7943932532, 0.2056067468]
+G3_ROWS = [[1, 2, 0], [2, 0, 1], [0, 1, 0]]
+G3_SHARES = [0.7857142857, 0.2142857143]
+
+
+def _vec_df(spark, rows):
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, a array<double>")
+    return M.vectors(df, "a")
+
+
+def test_g1_pca_components_and_projection(spark):
+    model = M.pca(_vec_df(spark, G1_ROWS), 2)
+    pc = model.pc.toArray()
+    for j in range(2):
+        col, want = pc[:, j], np.array([r[j] for r in G1_PC])
+        sign = np.sign(col @ want)
+        assert np.allclose(col * sign, want, atol=1e-6)
+    proj = M.pca_project(model, _vec_df(spark, G1_ROWS)).orderBy("id").collect()
+    for r, (a, b) in zip(proj, G1_PROJ):
+        got = sorted([abs(r.projection[0]), abs(r.projection[1])])
+        assert np.allclose(got, sorted([abs(a), abs(b)]), atol=1e-3)
+
+
+def test_g2_g3_explained_variance(spark):
+    assert np.allclose(M.pca(_vec_df(spark, G1_ROWS), 2).explainedVariance.toArray(), G2_SHARES, atol=1e-8)
+    ev = M.pca(_vec_df(spark, G3_ROWS), 2).explainedVariance.toArray()
+    assert np.allclose(ev, G3_SHARES, atol=1e-8)
+    assert abs(ev.sum() - 1.0) < 1e-9
+
+
+def test_dense_index_is_bijection_in_key_order(spark):
+    r = V.ratings(spark, SF_SMALL)
+    ix = dense_index(r, "user_id", "ix").toPandas().sort_values("user_id")
+    assert list(ix["ix"]) == list(range(len(ix)))
+    desc = dense_index(r, "user_id", "ix", descending=True).toPandas().sort_values("user_id", ascending=False)
+    assert list(desc["ix"]) == list(range(len(desc)))
+
+
+def _entries_fixture(spark, a):
+    rows = [(int(i), int(j), float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1]) if a[i, j] != 0]
+    return spark.createDataFrame(rows, "row_ix int, col_ix int, value double")
+
+
+def test_svd_exact_on_low_rank_matrix(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 25))
+    svd = M.truncated_svd(_entries_fixture(spark, a), 3, oversample=4, iters=3)
+    want = np.linalg.svd(a, compute_uv=False)[:3]
+    assert np.allclose(svd.s, want, rtol=1e-8)
+    u = svd.u.toPandas().sort_values("row_ix")[["u0", "u1", "u2"]].to_numpy()
+    v = svd.v.toPandas().sort_values("col_ix")[["v0", "v1", "v2"]].to_numpy()
+    assert np.allclose(u @ np.diag(svd.s) @ v.T, a, atol=1e-8)
+    assert abs(svd.frobenius2 - (a ** 2).sum()) < 1e-6
+
+
+def test_svd_matches_dense_on_rating_matrix(spark):
+    e = M.rating_entries(V.ratings(spark, SF_SMALL))
+    pdf = e.select("row_ix", "col_ix", "value").toPandas()
+    a = np.zeros((pdf.row_ix.max() + 1, pdf.col_ix.max() + 1))
+    a[pdf.row_ix, pdf.col_ix] = pdf.value
+    want = np.linalg.svd(a, compute_uv=False)
+    svd = M.truncated_svd(e.select("row_ix", "col_ix", "value"), 2)
+    assert abs(svd.s[0] - want[0]) / want[0] < 1e-9
+    assert abs(svd.s[1] - want[1]) / want[1] < 1e-3
+
+
+def test_rows_by_item_chunks_concatenate_to_sorted_list(spark):
+    r = V.ratings(spark, SF_SMALL)
+    chunks = M.rows_by_item(r, max_chunk=3).toPandas()
+    ref = r.select("business_id", "user_id", "stars").toPandas()
+    assert chunks.groupby("business_id").chunk.nunique().max() > 1
+    for bid, grp in list(chunks.groupby("business_id"))[:50]:
+        pairs = [tuple(p) for _, row in grp.sort_values("chunk", ascending=False).iterrows() for p in row.pairs]
+        want = sorted(ref[ref.business_id == bid][["user_id", "stars"]].itertuples(index=False, name=None),
+                      reverse=True)
+        assert pairs == want
+
+
+def test_pivot_users_to_columns_brute_force(spark):
+    r = V.ratings(spark, SF_SMALL)
+    users = sorted(r.select("user_id").distinct().toPandas().user_id)[:6]
+    got = M.pivot_ratings(r.where(F.col("user_id").isin(users)), "business_id", "user_id", users).toPandas()
+    ref = r.where(F.col("user_id").isin(users)).toPandas()
+    want = ref.pivot_table(index="business_id", columns="user_id", values="stars", aggfunc="max").fillna(0)
+    got = got.set_index("business_id").sort_index()[users]
+    assert np.allclose(got.to_numpy(), want.sort_index()[users].to_numpy())
+    with pytest.raises(ValueError):
+        M.pivot_ratings(r, "business_id", "user_id", list(range(M.MAX_PIVOT_VALUES + 1)))
+
+
+def test_grid_spectrum_equals_dense_grid(spark):
+    from ratewise.operators.split import flag_split
+    from ratewise.plans.recommender import run_recommender
+
+    train, test = flag_split(V.ratings(spark, SF_SMALL))
+    res = run_recommender(train, test)
+    mu = train.agg(F.avg("stars")).first()[0]
+    items = res.model.itemFactors.join(res.items, F.col("id") == F.col("business_ix"))
+    users = res.model.userFactors.join(res.users, F.col("id") == F.col("user_ix"))
+    ia = items.select(F.concat("features", F.array(F.lit(1.0), F.col("business_mean") - mu)).alias("f"))
+    ua = users.select(F.concat("features", F.array("user_mean", F.lit(1.0))).alias("f"))
+    s, total = M.grid_spectrum(ia, ua, res.config.rank + 2)
+    a = np.array([r.f for r in ia.collect()])
+    b = np.array([r.f for r in ua.collect()])
+    grid = a @ b.T
+    want = np.linalg.svd(grid, compute_uv=False)
+    assert np.allclose(s[:5], want[:5], rtol=1e-6)
+    assert abs(total - (grid ** 2).sum()) / total < 1e-9
+    # A grid cell equals ALS prediction + bias.
+    p = res.scored.where("has_prediction").select("final_rating").first()
+    assert p is not None
+
+
+def test_recommender_acceptance(spark):
+    """H1: one consistent index beats bias-only on all rows and is < 0.7 on predicted pairs."""
+    from ratewise.plans.recommender import flagship_report
+
+    m = {r.metric: r.value for r in flagship_report(spark, SF_SMALL).collect()}
+    assert m["als_bias_predicted_pairs"] < 0.7
+    assert m["als_bias"] < m["bias_only"]
+    assert abs(m["als_bias"] - 0.8646) < 5e-4
+
+
+def test_als_refit_is_deterministic(spark):
+    from ratewise.operators.split import flag_split
+    from ratewise.plans.recommender import run_recommender
+
+    train, test = flag_split(V.ratings(spark, SF_SMALL))
+    a = run_recommender(train, test).scored.select("review_id", "prediction").toPandas().sort_values("review_id")
+    b = run_recommender(train, test).scored.select("review_id", "prediction").toPandas().sort_values("review_id")
+    assert np.abs(a.prediction.to_numpy() - b.prediction.to_numpy()).max() == 0.0
+
+
+def test_fallback_all_popular_equals_plain_rmse(spark):
+    from ratewise.operators import evaluate as E
+    from ratewise.operators.split import flag_split
+    from ratewise.plans.recommender import RecommenderConfig, run_recommender
+
+    train, test = flag_split(V.ratings(spark, SF_SMALL))
+    res = run_recommender(train, test, RecommenderConfig(min_business=-1, min_user=-1))
+    a = E.rmse(res.scored, pred="final_rating").first().rmse
+    b = E.rmse(res.scored, pred="fallback_rating").first().rmse
+    assert a == b
+
+
+def test_edge_records(spark):
+    df = spark.createDataFrame(
+        [("a", None, "  u1 \t"), ("b", [], "\nu2"), ("c", ["x", "y"], "u3")],
+        "id string, categories array<string>, uid string")
+    got = {r.id: (r.c, r.u) for r in df.select("id", first_item("categories").alias("c"),
+                                               strip_ws("uid").alias("u")).collect()}
+    assert got == {"a": (None, "u1"), "b": (None, "u2"), "c": ("x", "u3")}
+
+
+def test_strict_activity_threshold(spark):
+    from ratewise.functions.columns import fallback_rating
+
+    df = spark.createDataFrame([(10, 10, 4.0, 3.0, 2.0, 1.0)], "bc long, uc long, fr double, um double, bm double, mu double")
+    v = df.select(fallback_rating("fr", "um", "bm", "mu", "bc", "uc", 10, 9).alias("v")).first().v
+    assert v == 3.0  # business count == min is not active (strict >), user count > min
+
+
+CENTROID_FILES = {
+    "two_spaces.csv": "name,location\r\nA,-73.64494236  45.51034459\r\nB,-73.57122352  45.50435854 \r\n",
+    "header_space.csv": "name ,location\r\nA,-73.61342504  45.51804475\r\n",
+    "one_space.csv": "name,location\r\nA,-73.61342504 45.51804475\r\n",
+    "brackets.csv": "name,location\r\nA,[-73.56372819  45.50471308]\r\n",
+}
+
+
+def test_read_centroid_formats(spark, tmp_path):
+    for name, text in CENTROID_FILES.items():
+        p = tmp_path / name
+        p.write_text(text)
+        rows = read_centroids(spark, str(p)).collect()
+        assert rows[0].cluster_name == "A"
+        assert abs(rows[0].longitude + 73.6) < 0.1 and abs(rows[0].latitude - 45.5) < 0.1
+
+
+def test_nearest_centroid_brute_force(spark):
+    b = V.business(spark, SF_SMALL)
+    cents = spark.createDataFrame([(f"c{i}", lon, lat) for i, lon, lat in V.CENTROIDS],
+                                  "cluster_name string, longitude double, latitude double")
+    got = nearest_centroid(b, cents).select("business_id", "cluster_name", "plant").toPandas()
+    assert (got.cluster_name == "c" + got.plant.astype(str)).all()
