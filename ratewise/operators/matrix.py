@@ -4,7 +4,7 @@ The business x user rating matrix is kept in coordinate form
 ``(row_ix, col_ix, value)``: a missing cell is an implicit 0, so the dense
 grid is never materialised and no cross join is planned.
 
-Truncated SVD is a randomized subspace iteration over those entries.  One
+Truncated SVD is a randomized block Krylov method over those entries.  One
 multiplication ``A @ V`` is a join of the entries with the (n_cols x b) block
 on ``col_ix`` followed by ``groupBy(row_ix).sum`` (partial aggregation, so a
 hot row or column is combined map-side); ``A.T @ Q`` is the mirror image.
@@ -121,12 +121,20 @@ def _gram(block: DataFrame, prefix: str, b: int) -> np.ndarray:
 
 
 def _combine(block: DataFrame, key: str, prefix: str, t: np.ndarray, out_prefix: str | None = None) -> DataFrame:
-    """block @ t as column expressions with literal coefficients."""
+    """block @ t (t is a small coefficient matrix): numpy per Arrow batch, one pass, no shuffle."""
     src, out = _names(prefix, t.shape[0]), _names(out_prefix or prefix, t.shape[1])
-    return block.select(key, *[
-        sum(F.col(src[i]) * F.lit(float(t[i, j])) for i in range(t.shape[0])).alias(out[j])
-        for j in range(t.shape[1])
-    ])
+    key_type = dict(block.dtypes)[key]
+    schema = f"{key} {key_type}, " + ", ".join(f"{c} double" for c in out)
+    t = np.asarray(t, dtype=float)
+
+    def part(batches):
+        for pdf in batches:
+            x = pdf[src].to_numpy(dtype=float, na_value=0.0) @ t
+            res = pd.DataFrame(x, columns=out)
+            res.insert(0, key, pdf[key].to_numpy())
+            yield res
+
+    return block.select(key, *src).mapInPandas(part, schema)
 
 
 def _orthonormalise(block: DataFrame, key: str, prefix: str, b: int) -> tuple[DataFrame, int]:
@@ -147,40 +155,57 @@ class SVDResult:
     frobenius2: float  # sum of squared entries = sum of all squared singular values
 
 
-def truncated_svd(entries: DataFrame, k: int, oversample: int = 14, iters: int = 6, seed: int = 7) -> SVDResult:
+def _rename(block: DataFrame, key: str, prefix: str, b: int, new_prefix: str) -> DataFrame:
+    return block.select(key, *[F.col(f"{prefix}{j}").alias(f"{new_prefix}{j}") for j in range(b)])
+
+
+def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: int = 8, seed: int = 7) -> SVDResult:
     """Top-k singular triplets of the sparse matrix given by ``entries``.
 
-    Every product block is written to the shared checkpoint folder and read
-    back, which bounds both the plan size and the work a lost executor can
-    cost."""
+    Randomized block Krylov method: Q_0 = orth(A R), Q_i = orth(A orth(A^T Q_{i-1})),
+    then Rayleigh-Ritz over the span of all blocks [Q_0 .. Q_depth].  Keeping
+    every block converges much faster than plain subspace iteration when the
+    spectrum has small gaps.  Each product block is written to the shared
+    checkpoint folder and read back, which bounds both the plan size and the
+    work a lost executor can cost."""
     dims = entries.agg(F.count_distinct("row_ix").alias("r"), F.count_distinct("col_ix").alias("c"),
                        F.sum(F.col("value") * F.col("value")).alias("f")).first()
     n_rows, n_cols, frob2 = int(dims["r"]), int(dims["c"]), float(dims["f"] or 0.0)
-    b = max(1, min(k + oversample, n_rows, n_cols))
-    start = entries.select("col_ix").distinct()
-    v = start.select("col_ix", *[
+    b = max(1, min(block or (k + 8), n_rows, n_cols))
+    v = entries.select("col_ix").distinct().select("col_ix", *[
         ((F.xxhash64(F.col("col_ix"), F.lit(j), F.lit(seed)) % 2000003).cast("double") / 2000003.0).alias(n)
         for j, n in enumerate(_names("v", b))
     ])
-    def keep(df: DataFrame) -> DataFrame:
-        return materialise(df, "svd-block")
-
-    q = z = None
-    for it in range(iters + 1):
-        y = keep(_multiply(entries, v, "col_ix", "row_ix", "v", "y", b))
+    y = materialise(_multiply(entries, v, "col_ix", "row_ix", "v", "y", b), "svd-y")
+    q, b = _orthonormalise(y, "row_ix", "y", b)
+    q = materialise(q, "svd-q")
+    blocks = [(q, b)]
+    for _ in range(depth):
+        z = materialise(_multiply(entries, q, "row_ix", "col_ix", "y", "v", b), "svd-z")
+        w, b = _orthonormalise(z, "col_ix", "v", b)
+        y = materialise(_multiply(entries, w, "col_ix", "row_ix", "v", "y", b), "svd-y")
         q, b = _orthonormalise(y, "row_ix", "y", b)
-        z = keep(_multiply(entries, q, "row_ix", "col_ix", "y", "v", b))
-        if it < iters:
-            v, b = _orthonormalise(z, "col_ix", "v", b)
-    # Rayleigh-Ritz: A ~ Q (Q^T A) = Q Z^T; SVD of the small factor from Z^T Z.
-    lam, w = np.linalg.eigh(_gram(z, "v", b))
-    order = np.argsort(lam)[::-1][: min(k, b)]
+        q = materialise(q, "svd-q")
+        blocks.append((q, b))
+    # Krylov basis: all blocks side by side (same row set), orthonormalised together.
+    basis = None
+    width = 0
+    for i, (blk, bi) in enumerate(blocks):
+        part = blk.select("row_ix", *[F.col(f"y{j}").alias(f"k{width + j}") for j in range(bi)])
+        basis = part if basis is None else basis.join(part, "row_ix")
+        width += bi
+    basis = materialise(basis, "svd-basis")
+    kq, width = _orthonormalise(basis, "row_ix", "k", width)
+    kq = materialise(kq, "svd-kq")
+    # Rayleigh-Ritz: A ~ K (K^T A) = K Z^T with Z = A^T K; SVD of the small factor from Z^T Z.
+    z = materialise(_multiply(entries, kq, "row_ix", "col_ix", "k", "z", width), "svd-zk")
+    lam, w = np.linalg.eigh(_gram(z, "z", width))
+    order = np.argsort(lam)[::-1][: min(k, width)]
     lam, w = np.clip(lam[order], 0.0, None), w[:, order]
     s = np.sqrt(lam)
     inv = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0), 0.0)
-    # The final blocks are written out so the returned frames do not depend on cached data.
-    u = materialise(_combine(q, "row_ix", "y", w, "u"), "svd-u")
-    vk = materialise(_combine(z, "col_ix", "v", w * inv[None, :], "v"), "svd-v")
+    u = materialise(_combine(kq, "row_ix", "k", w, "u"), "svd-u")
+    vk = materialise(_combine(z, "col_ix", "z", w * inv[None, :], "v"), "svd-v")
     return SVDResult(u, s, vk, n_rows, n_cols, frob2)
 
 
