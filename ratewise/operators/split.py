@@ -24,26 +24,30 @@ def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 1) -> list[DataF
     return df.randomSplit(list(weights), seed)
 
 
-def dense_index(df: DataFrame, key: str, index_col: str | None = None, descending: bool = False) -> DataFrame:
+def dense_index(df: DataFrame, key: str, index_col: str | None = None, descending: bool = False,
+                carry=None) -> DataFrame:
     """Distinct keys numbered 0..n-1 in key order (= row_number() over (order by key) - 1).
 
     Distributed: the keys are range-partitioned and sorted, each partition counts
     its rows, and a running sum over the (few) partition counts gives the offset
     of every partition.  The sorted keys are checkpointed to the shared folder
     first so both uses see identical partitions even after executor loss.
+
+    ``carry`` names columns of a frame that is already unique per key (an
+    entity table); they are kept alongside the index, which saves the join
+    back to that table.
     """
     index_col = index_col or f"{key}_ix"
+    carry = list(carry or [])
     order = F.col(key).desc() if descending else F.col(key).asc()
-    keys = (
-        df.select(key)
-        .where(F.col(key).isNotNull())
-        .distinct()
-        .orderBy(order)
-        .select(
-            key,
-            F.spark_partition_id().alias("_pid"),
-            F.monotonically_increasing_id().alias("_mid"),
-        )
+    base = df.select(key, *carry).where(F.col(key).isNotNull())
+    if not carry:
+        base = base.distinct()
+    keys = base.orderBy(order).select(
+        key,
+        *carry,
+        F.spark_partition_id().alias("_pid"),
+        F.monotonically_increasing_id().alias("_mid"),
     )
     keys = cut_lineage(keys)
     # One row per partition: bounded by the partition count, so broadcast is safe.
@@ -52,7 +56,7 @@ def dense_index(df: DataFrame, key: str, index_col: str | None = None, descendin
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return keys.join(F.broadcast(offsets), "_pid").select(
-        key, (F.col("_off") + pos).cast("int").alias(index_col)
+        key, *carry, (F.col("_off") + pos).cast("int").alias(index_col)
     )
 
 

@@ -799,13 +799,17 @@ def f6_row_values(spark, sf):
 @register("f11_pairs_to_map", with_views("""
 SELECT business_id, count(*) AS n_keys, round(sum(value), 6) AS value_sum FROM entries GROUP BY business_id""", MATRIX))
 def f11_pairs_to_map(spark, sf):
+    """Per-business user -> rating maps, built per chunk (a hot business is split
+    over user-index ranges, as in ``rows_by_item``), then summarised per business."""
     from ratewise.functions.columns import pairs_to_map
+    from ratewise.operators.matrix import rows_by_item
 
-    e = _entries(spark, sf)
-    m = e.groupBy("business_id").agg(pairs_to_map(F.collect_list(F.struct("user_id", F.col("value").alias("rating"))))
-                                     .alias("m"))
-    return m.select("business_id", F.size("m").cast("long").alias("n_keys"),
-                    round6(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x)).alias("value_sum"))
+    e = _entries(spark, sf).select("business_id", "user_id", F.col("value").alias("rating"))
+    chunks = rows_by_item(e, "business_id", "user_id", "rating", max_chunk=MAX_CHUNK)
+    m = chunks.select("business_id", pairs_to_map("pairs").alias("m"))
+    per_chunk = m.select("business_id", F.size("m").cast("long").alias("n"),
+                         F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    return per_chunk.groupBy("business_id").agg(F.sum("n").alias("n_keys"), round6(F.sum("s")).alias("value_sum"))
 
 
 @register("a11_pivot_star_levels", with_views(

@@ -53,9 +53,11 @@ class RecommenderResult:
 
 def entity_tables(bias: Bias) -> tuple[DataFrame, DataFrame]:
     """(user_id, user_mean, user_count, user_ix), (business_id, ..., business_ix)."""
-    users = bias.users.join(dense_index(bias.users, "user_id", "user_ix"), "user_id")
-    items = bias.items.join(dense_index(bias.items, "business_id", "business_ix"), "business_id")
-    return cut_lineage(users), cut_lineage(items)
+    # The index is computed on the entity tables themselves (unique per key), carrying
+    # mean and count; the result is already checkpointed by ``dense_index``.
+    users = dense_index(bias.users, "user_id", "user_ix", carry=["user_mean", "user_count"])
+    items = dense_index(bias.items, "business_id", "business_ix", carry=["business_mean", "business_count"])
+    return users, items
 
 
 def run_recommender(train: DataFrame, test: DataFrame, cfg: RecommenderConfig | None = None) -> RecommenderResult:
