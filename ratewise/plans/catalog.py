@@ -1062,3 +1062,138 @@ def s16_parquet_roundtrip(spark, sf):
 
     path = write_parquet(_reviews(spark, sf), _out(spark, "reviews-parquet"))
     return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------- remaining inventory rows
+# Rows of SURVEY §2 whose computation is one of the operators above, registered
+# under their own id so every row has a query; where the original used a Python
+# UDF or RDD lambda, the registered query is the built-in replacement.
+
+def _alias(key: str, target: str, doc: str):
+    fn = QUERIES[target]
+
+    def q(spark, sf):
+        return fn(spark, sf)
+
+    q.__doc__ = doc
+    register(key, ORACLE.get(target))(q)
+
+
+_alias("s5_json_sink", "s1_review_json_roundtrip", "S5: JSON-lines sink, read back.")
+_alias("s10_read_centroids", "s11_centroid_roundtrip", "S10: centroid table parsed from CSV.")
+_alias("m17_centroids", "m14_kmeans_centres", "M17: cluster centres named A, B, ... in canonical order.")
+_alias("f5_explode", "t3_sort_row", "F5: one explode of the (sorted) pair list into rows.")
+_alias("t4_scores_by_row", "m25_component_scores", "T4: component scores ordered by row index.")
+_alias("t5_sorted_eigenvalues", "m23_svd_spectrum", "T5: eigenvalues in descending order.")
+_alias("v2_conditional_rating", "p9_fallback_rating", "V2: the conditional-rating UDF as a built-in CASE chain.")
+_alias("v3_column_builders", "m6_final_rating", "V3: Python functions returning Columns (stay in Catalyst).")
+_alias("v4_dataframe_expressions", "a10_rows_by_item",
+       "V4: RDD map/reduceByKey lambdas as DataFrame grouping and array expressions.")
+
+
+@register("s3_from_rows", with_views("""
+SELECT cluster_name, round(clon, 6) AS longitude, round(clat, 6) AS latitude FROM plants""", CITY, PLANT_NAMES))
+def s3_from_rows(spark, sf):
+    """S3: a small in-memory relation built from bounded driver rows (the k fitted centres)."""
+    from ratewise.operators.cluster import cluster_name
+    from ratewise.sources.io import from_rows
+
+    cl, _ = _clustered(spark, sf)
+    rows = [(cluster_name(i), float(c[0]), float(c[1])) for i, c in enumerate(cl.centres)]
+    return _r(from_rows(spark, rows, "cluster_name string, longitude double, latitude double"),
+              "longitude", "latitude")
+
+
+@register("s7_single_file", with_views("""
+SELECT cluster_name, round(clon, 6) AS longitude, round(clat, 6) AS latitude FROM plants""", CITY, PLANT_NAMES))
+def s7_single_file(spark, sf):
+    """A bounded table (k rows) written as exactly one JSON file and read back."""
+    from ratewise.operators.cluster import centroids
+    from ratewise.sources.io import write_json
+
+    cl, _ = _clustered(spark, sf)
+    path = write_json(centroids(spark, cl), _out(spark, "centroids-json"), files=1)
+    back = spark.read.schema("cluster_name string, longitude double, latitude double").json(path)
+    assert len(back.inputFiles()) == 1
+    return _r(back, "longitude", "latitude")
+
+
+@register("p11_feature_columns")
+def p11_feature_columns(spark, sf):
+    """Numeric columns of the schema (minus the plant key) as the feature list."""
+    from ratewise.operators.cluster import assemble
+
+    b = P.filter_city(V.business(spark, sf), CITY_NAME, CITY_EXCLUDE)
+    cols = P.feature_columns(b, skip=["plant"])
+    return assemble(b, cols).select("business_id", "features")
+
+
+@register("a13_user_range", with_views(
+    "SELECT user_id, max(stars) - min(stars) AS stars_range FROM ratings GROUP BY user_id"))
+def a13_user_range(spark, sf):
+    return ST.user_spread(V.ratings(spark, sf)).select("user_id", "stars_range")
+
+
+@register("a15_count_by_key", with_views("SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id"))
+def a15_count_by_key(spark, sf):
+    return ST.count_by(V.ratings(spark, sf), "user_id")
+
+
+@register("t2_top_businesses", with_views(
+    "SELECT business_id, count(*) AS n FROM ratings GROUP BY business_id ORDER BY n DESC, business_id LIMIT 10"))
+def t2_top_businesses(spark, sf):
+    """A top-k report (the limit is the feature), ties broken by id."""
+    return ST.count_by(V.ratings(spark, sf), "business_id").orderBy(F.desc("n"), "business_id").limit(10)
+
+
+@register("f2_cast_double", with_views(
+    "SELECT review_id, CAST(CAST(stars AS VARCHAR) AS DOUBLE) AS stars FROM ratings"))
+def f2_cast_double(spark, sf):
+    return V.ratings(spark, sf).select("review_id", P.cast_double(F.col("stars").cast("string")).alias("stars"))
+
+
+@register("f4_struct_field", with_views("SELECT review_id, user_id, stars FROM ratings"))
+def f4_struct_field(spark, sf):
+    """tuple fields by name from a struct column."""
+    r = V.ratings(spark, sf).select("review_id", F.struct("user_id", "stars").alias("pair"))
+    return r.select("review_id", F.col("pair.user_id").alias("user_id"), F.col("pair.stars").alias("stars"))
+
+
+@register("m9a_business_mean_rmse", bias_sql(
+    "SELECT count(*) AS n, round(sqrt(avg(pow(stars - business_mean, 2))), 6) AS rmse FROM scored"))
+def m9a_business_mean_rmse(spark, sf):
+    t, _ = _scored_bias(spark, sf)
+    return _r(E.rmse(t, pred="business_mean"), "rmse")
+
+
+@register("m9b_user_mean_rmse", bias_sql(
+    "SELECT count(*) AS n, round(sqrt(avg(pow(stars - user_mean, 2))), 6) AS rmse FROM scored"))
+def m9b_user_mean_rmse(spark, sf):
+    t, _ = _scored_bias(spark, sf)
+    return _r(E.rmse(t, pred="user_mean"), "rmse")
+
+
+@register("m9c_mean_of_means_rmse", bias_sql(
+    "SELECT count(*) AS n, round(sqrt(avg(pow(stars - (user_mean + business_mean) / 2, 2))), 6) AS rmse FROM scored"))
+def m9c_mean_of_means_rmse(spark, sf):
+    t, _ = _scored_bias(spark, sf)
+    return _r(E.rmse(t.withColumn("mm", (F.col("user_mean") + F.col("business_mean")) / 2), pred="mm"), "rmse")
+
+
+@register("m9d_raw_als_rmse")
+def m9d_raw_als_rmse(spark, sf):
+    """M9d: RMSE of the residual prediction without bias re-addition."""
+    return E.rmse(_als(spark, sf).scored, pred="prediction")
+
+
+@register("v1_densify_sql_view", ORACLE["f7_fill_missing_zero"])
+def v1_densify_sql_view(spark, sf):
+    """V1: the row-merge function exposed to SQL as a temp view of sparse entries
+    (built-ins only; missing cells are implicit zeros)."""
+    _entries(spark, sf).createOrReplaceTempView("rating_entries")
+    return spark.sql("""
+        SELECT business_id,
+               (SELECT count(DISTINCT user_id) FROM rating_entries) AS row_length,
+               count(*) AS n_rated,
+               (SELECT count(DISTINCT user_id) FROM rating_entries) - count(*) AS n_zero
+        FROM rating_entries GROUP BY business_id""")
