@@ -16,6 +16,25 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings for the 100 TB deployment (applied by the cluster's submit config, not
+# by library code).  Shuffle partitions start high and AQE coalesces them to
+# ~256 MB; input splits match; AQE splits skewed join partitions and converts
+# joins to broadcast only below a measured size.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def get_session(master: str | None = None, partitions: int = 8, app: str = "ratewise") -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
