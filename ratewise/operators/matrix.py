@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise.operators.split import dense_index
-from ratewise.session import materialise
+from ratewise.session import bucketed, materialise
 
 MAX_PIVOT_VALUES = 10_000
 
@@ -172,18 +172,25 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
                        F.sum(F.col("value") * F.col("value")).alias("f")).first()
     n_rows, n_cols, frob2 = int(dims["r"]), int(dims["c"]), float(dims["f"] or 0.0)
     b = max(1, min(block or (k + 8), n_rows, n_cols))
+    # The entries are written once bucketed by each join key: every product then
+    # shuffles only the small block and the map-side partial sums, never the
+    # entries again.
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols3 = entries.select("row_ix", "col_ix", "value")
+    by_col = bucketed(cols3, "col_ix", parts, "svd_by_col")
+    by_row = bucketed(cols3, "row_ix", parts, "svd_by_row")
     v = entries.select("col_ix").distinct().select("col_ix", *[
         ((F.xxhash64(F.col("col_ix"), F.lit(j), F.lit(seed)) % 2000003).cast("double") / 2000003.0).alias(n)
         for j, n in enumerate(_names("v", b))
     ])
-    y = materialise(_multiply(entries, v, "col_ix", "row_ix", "v", "y", b), "svd-y")
+    y = materialise(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b), "svd-y")
     q, b = _orthonormalise(y, "row_ix", "y", b)
     q = materialise(q, "svd-q")
     blocks = [(q, b)]
     for _ in range(depth):
-        z = materialise(_multiply(entries, q, "row_ix", "col_ix", "y", "v", b), "svd-z")
+        z = materialise(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b), "svd-z")
         w, b = _orthonormalise(z, "col_ix", "v", b)
-        y = materialise(_multiply(entries, w, "col_ix", "row_ix", "v", "y", b), "svd-y")
+        y = materialise(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b), "svd-y")
         q, b = _orthonormalise(y, "row_ix", "y", b)
         q = materialise(q, "svd-q")
         blocks.append((q, b))
@@ -198,7 +205,7 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     kq, width = _orthonormalise(basis, "row_ix", "k", width)
     kq = materialise(kq, "svd-kq")
     # Rayleigh-Ritz: A ~ K (K^T A) = K Z^T with Z = A^T K; SVD of the small factor from Z^T Z.
-    z = materialise(_multiply(entries, kq, "row_ix", "col_ix", "k", "z", width), "svd-zk")
+    z = materialise(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width), "svd-zk")
     lam, w = np.linalg.eigh(_gram(z, "z", width))
     order = np.argsort(lam)[::-1][: min(k, width)]
     lam, w = np.clip(lam[order], 0.0, None), w[:, order]
