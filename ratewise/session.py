@@ -99,15 +99,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Write ``df`` as a table bucketed (and sorted) by ``key`` in the shared folder.
-
-    Joins and aggregations on ``key`` against it then shuffle only the other
-    side: the layout is reused by every later stage instead of re-shuffling
-    this (large) side each time."""
+def bucketed_table(df: DataFrame, key: str, buckets: int, name: str) -> str:
+    """Write ``df`` as a table bucketed (and sorted) by ``key`` in the shared
+    folder; returns the table name."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     table = f"rw_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
     (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
      .option("path", path).saveAsTable(table))
-    return spark.table(table)
+    return table
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` stored bucketed by ``key``: joins and aggregations on ``key``
+    against it then shuffle only the other side, so the layout is reused by
+    every later stage instead of re-shuffling this (large) side each time."""
+    return df.sparkSession.table(bucketed_table(df, key, buckets, name))
