@@ -184,15 +184,14 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
         for j, n in enumerate(_names("v", b))
     ])
     y = materialise(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b), "svd-y")
+    # q = y @ t is recomputed from the written y where used (one numpy pass), not stored.
     q, b = _orthonormalise(y, "row_ix", "y", b)
-    q = materialise(q, "svd-q")
     blocks = [(q, b)]
     for _ in range(depth):
         z = materialise(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b), "svd-z")
         w, b = _orthonormalise(z, "col_ix", "v", b)
         y = materialise(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b), "svd-y")
         q, b = _orthonormalise(y, "row_ix", "y", b)
-        q = materialise(q, "svd-q")
         blocks.append((q, b))
     # Krylov basis: all blocks side by side (same row set), orthonormalised together.
     basis = None
