@@ -212,7 +212,8 @@ def test_hot_key_is_split_and_complete(spark):
 
     base = V.ratings(spark, SF_SMALL).select("user_id", "business_id", "stars")
     n = base.count()
-    hot = base.limit(n // 2).select("user_id", F.lit("b_hot").alias("business_id"), "stars")
+    hot = base.orderBy("user_id", "business_id", "stars").limit(n // 2).select(
+        "user_id", F.lit("b_hot").alias("business_id"), "stars")
     df = base.unionByName(hot)
     chunks = M.rows_by_item(df, max_chunk=200).where(F.col("business_id") == "b_hot").toPandas()
     sizes = chunks.pairs.map(len)
