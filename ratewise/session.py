@@ -105,7 +105,9 @@ def bucketed_table(df: DataFrame, key: str, buckets: int, name: str) -> str:
     spark = df.sparkSession
     path = shared_path(spark, name)
     table = f"rw_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    # Hash-partitioning by the bucket key first makes each task write exactly one
+    # bucket file (instead of one file per bucket per task).
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
      .option("path", path).saveAsTable(table))
     return table
 
