@@ -224,3 +224,26 @@ def test_hot_key_is_split_and_complete(spark):
     stats = entity_stats(df, "business_id").where(F.col("business_id") == "b_hot").first()
     ref = hot.toPandas()
     assert stats.business_count == len(ref) and abs(stats.business_mean - ref.stars.mean()) < 1e-12
+
+
+def test_dense_index_carry_keeps_entity_columns(spark):
+    from ratewise.operators.bias import entity_stats
+
+    stats = entity_stats(V.ratings(spark, SF_SMALL), "business_id")
+    ix = dense_index(stats, "business_id", "business_ix", carry=["business_mean", "business_count"]).toPandas()
+    ref = stats.toPandas().set_index("business_id")
+    ix = ix.sort_values("business_id")
+    assert list(ix.business_ix) == list(range(len(ix)))
+    assert np.allclose(ix.set_index("business_id").business_mean, ref.loc[ix.business_id].business_mean)
+
+
+def test_hash_split_is_reproducible_and_complete(spark):
+    from ratewise.operators.split import hash_split
+
+    r = V.ratings(spark, SF_SMALL).select("review_id", "user_id")
+    a_tr, a_te = hash_split(r, "user_id", 20)
+    b_tr, b_te = hash_split(r.repartition(3), "user_id", 20)
+    assert sorted(x.review_id for x in a_te.collect()) == sorted(x.review_id for x in b_te.collect())
+    assert a_tr.count() + a_te.count() == r.count()
+    # Whole users go to one side.
+    assert a_tr.select("user_id").intersect(a_te.select("user_id")).count() == 0
