@@ -42,7 +42,9 @@ def rating_entries(df: DataFrame, row_key: str = "business_id", col_key: str = "
     rows = dense_index(df, row_key, "row_ix")
     cols = dense_index(df, col_key, "col_ix", descending=True)
     e = df.groupBy(row_key, col_key).agg(F.max(value).cast("double").alias("value"))
-    return e.join(rows, row_key).join(cols, col_key).select(row_key, col_key, "row_ix", "col_ix", "value")
+    # Column (user) index first: ratings are bucketed by user, so the pair
+    # aggregate and this join keep that layout; only the row join reshuffles.
+    return e.join(cols, col_key).join(rows, row_key).select(row_key, col_key, "row_ix", "col_ix", "value")
 
 
 def rows_by_item(df: DataFrame, key: str = "business_id", item: str = "user_id", value: str = "stars",
