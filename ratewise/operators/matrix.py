@@ -61,7 +61,10 @@ def rows_by_item(df: DataFrame, key: str = "business_id", item: str = "user_id",
     j = df.select(key, item, value).join(ix, item).join(counts, key)
     n_chunks = F.ceil(F.col("_cnt") / F.lit(max_chunk))
     chunk = F.floor(F.col("_iix") * n_chunks / n_items).cast("int")
-    return j.groupBy(key, chunk.alias("chunk")).agg(
+    # Distribute on (key, chunk) explicitly: the count join is then free to be
+    # skew-split by AQE, and a hot key's rows spread over its chunks' partitions.
+    j = j.withColumn("chunk", chunk).repartition(key, "chunk")
+    return j.groupBy(key, "chunk").agg(
         F.sort_array(F.collect_list(F.struct(F.col(item), F.col(value))), asc=False).alias("pairs"))
 
 
@@ -90,8 +93,17 @@ def _names(prefix: str, b: int) -> list[str]:
     return [f"{prefix}{j}" for j in range(b)]
 
 
-def _multiply(entries: DataFrame, block: DataFrame, key_in: str, key_out: str, pin: str, pout: str, b: int) -> DataFrame:
-    j = entries.select(key_in, key_out, "value").join(block, key_in)
+def _multiply(entries: DataFrame, block: DataFrame, key_in: str, key_out: str, pin: str, pout: str, b: int,
+              salts: int | None = None) -> DataFrame:
+    """entries (x) block on ``key_in``, summed per ``key_out``.
+
+    With ``salts``, the entries carry a ``salt`` column and are joined on
+    (key_in, salt); the block is replicated once per salt value by a generator."""
+    if salts:
+        block = block.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = entries.select(key_in, "salt", key_out, "value").join(block, [key_in, "salt"])
+    else:
+        j = entries.select(key_in, key_out, "value").join(block, key_in)
     return j.groupBy(key_out).agg(*[F.sum(F.col("value") * F.col(c)).alias(o)
                                     for c, o in zip(_names(pin, b), _names(pout, b))])
 
@@ -161,7 +173,8 @@ def _rename(block: DataFrame, key: str, prefix: str, b: int, new_prefix: str) ->
     return block.select(key, *[F.col(f"{prefix}{j}").alias(f"{new_prefix}{j}") for j in range(b)])
 
 
-def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: int = 8, seed: int = 7) -> SVDResult:
+def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: int = 8, seed: int = 7,
+                  salts: int = 16) -> SVDResult:
     """Top-k singular triplets of the sparse matrix given by ``entries``.
 
     Randomized block Krylov method: Q_0 = orth(A R), Q_i = orth(A orth(A^T Q_{i-1})),
@@ -174,25 +187,29 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
                        F.sum(F.col("value") * F.col("value")).alias("f")).first()
     n_rows, n_cols, frob2 = int(dims["r"]), int(dims["c"]), float(dims["f"] or 0.0)
     b = max(1, min(block or (k + 8), n_rows, n_cols))
-    # The entries are written once bucketed by each join key: every product then
-    # shuffles only the small block and the map-side partial sums, never the
-    # entries again.
+    # The entries are written once per product direction, bucketed by
+    # (join index, salt) where the salt hashes the *other* index into ``salts``
+    # values: every product then shuffles only the small block (replicated once
+    # per salt) and the map-side partial sums, never the entries again, and a
+    # hot row or column is spread over ``salts`` buckets instead of one task.
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols3 = entries.select("row_ix", "col_ix", "value")
-    by_col = bucketed(cols3, "col_ix", parts, "svd_by_col")
-    by_row = bucketed(cols3, "row_ix", parts, "svd_by_row")
+    by_col = bucketed(cols3.withColumn("salt", F.pmod(F.xxhash64("row_ix"), F.lit(salts)).cast("int")),
+                      ["col_ix", "salt"], parts, "svd_by_col")
+    by_row = bucketed(cols3.withColumn("salt", F.pmod(F.xxhash64("col_ix"), F.lit(salts)).cast("int")),
+                      ["row_ix", "salt"], parts, "svd_by_row")
     v = entries.select("col_ix").distinct().select("col_ix", *[
         ((F.xxhash64(F.col("col_ix"), F.lit(j), F.lit(seed)) % 2000003).cast("double") / 2000003.0).alias(n)
         for j, n in enumerate(_names("v", b))
     ])
-    y = materialise(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b), "svd-y")
+    y = materialise(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
     # q = y @ t is recomputed from the written y where used (one numpy pass), not stored.
     q, b = _orthonormalise(y, "row_ix", "y", b)
     blocks = [(q, b)]
     for _ in range(depth):
-        z = materialise(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b), "svd-z")
+        z = materialise(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b, salts), "svd-z")
         w, b = _orthonormalise(z, "col_ix", "v", b)
-        y = materialise(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b), "svd-y")
+        y = materialise(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
         q, b = _orthonormalise(y, "row_ix", "y", b)
         blocks.append((q, b))
     # Krylov basis: all blocks side by side (same row set), orthonormalised together.
@@ -206,7 +223,7 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     kq, width = _orthonormalise(basis, "row_ix", "k", width)
     kq = materialise(kq, "svd-kq")
     # Rayleigh-Ritz: A ~ K (K^T A) = K Z^T with Z = A^T K; SVD of the small factor from Z^T Z.
-    z = materialise(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width), "svd-zk")
+    z = materialise(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width, salts), "svd-zk")
     lam, w = np.linalg.eigh(_gram(z, "z", width))
     order = np.argsort(lam)[::-1][: min(k, width)]
     lam, w = np.clip(lam[order], 0.0, None), w[:, order]

@@ -99,20 +99,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bucketed_table(df: DataFrame, key: str, buckets: int, name: str) -> str:
-    """Write ``df`` as a table bucketed (and sorted) by ``key`` in the shared
-    folder; returns the table name."""
+def bucketed_table(df: DataFrame, key, buckets: int, name: str) -> str:
+    """Write ``df`` as a table bucketed (and sorted) by ``key`` (a column or a
+    list of columns) in the shared folder; returns the table name."""
     spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
     path = shared_path(spark, name)
     table = f"rw_{name}_{uuid.uuid4().hex[:12]}".replace("-", "_")
     # Hash-partitioning by the bucket key first makes each task write exactly one
     # bucket file (instead of one file per bucket per task).
-    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(table))
     return table
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key, buckets: int, name: str) -> DataFrame:
     """``df`` stored bucketed by ``key``: joins and aggregations on ``key``
     against it then shuffle only the other side, so the layout is reused by
     every later stage instead of re-shuffling this (large) side each time."""
