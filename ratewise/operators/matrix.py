@@ -29,6 +29,8 @@ from ratewise.operators.split import dense_index
 from ratewise.session import bucketed, materialise
 
 MAX_PIVOT_VALUES = 10_000
+ENTRY_BYTES = 32  # row_ix, col_ix, value, salt as stored
+BUCKET_BYTES = 128 << 20
 
 
 # ---------------------------------------------------------------- sparse rows and entries
@@ -184,7 +186,7 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     checkpoint folder and read back, which bounds both the plan size and the
     work a lost executor can cost."""
     dims = entries.agg(F.count_distinct("row_ix").alias("r"), F.count_distinct("col_ix").alias("c"),
-                       F.sum(F.col("value") * F.col("value")).alias("f")).first()
+                       F.sum(F.col("value") * F.col("value")).alias("f"), F.count(F.lit(1)).alias("e")).first()
     n_rows, n_cols, frob2 = int(dims["r"]), int(dims["c"]), float(dims["f"] or 0.0)
     b = max(1, min(block or (k + 8), n_rows, n_cols))
     # The entries are written once per product direction, bucketed by
@@ -192,7 +194,12 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     # values: every product then shuffles only the small block (replicated once
     # per salt) and the map-side partial sums, never the entries again, and a
     # hot row or column is spread over ``salts`` buckets instead of one task.
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Bucket count from the data size (~128 MB of entries per bucket), at least
+    # the cluster's parallelism, at most the configured shuffle partitions.
+    spark = entries.sparkSession
+    max_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_size = -(-int(dims["e"]) * ENTRY_BYTES // BUCKET_BYTES)
+    parts = max(1, min(max_parts, max(spark.sparkContext.defaultParallelism, by_size)))
     cols3 = entries.select("row_ix", "col_ix", "value")
     by_col = bucketed(cols3.withColumn("salt", F.pmod(F.xxhash64("row_ix"), F.lit(salts)).cast("int")),
                       ["col_ix", "salt"], parts, "svd_by_col")
