@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise.operators.split import dense_index
-from ratewise.session import bucketed, materialise
+from ratewise.session import bucketed_table, drop_table, materialise, remove_paths, shared_path
 
 MAX_PIVOT_VALUES = 10_000
 ENTRY_BYTES = 32  # row_ix, col_ix, value, salt as stored
@@ -44,8 +44,8 @@ def rating_entries(df: DataFrame, row_key: str = "business_id", col_key: str = "
     rows = dense_index(df, row_key, "row_ix")
     cols = dense_index(df, col_key, "col_ix", descending=True)
     e = df.groupBy(row_key, col_key).agg(F.max(value).cast("double").alias("value"))
-    # Column (user) index first: ratings are bucketed by user, so the pair
-    # aggregate and this join keep that layout; only the row join reshuffles.
+    # Both index joins are equi-joins on entity-sized tables: broadcast when the
+    # measured size allows, otherwise shuffled joins that AQE can skew-split.
     return e.join(cols, col_key).join(rows, row_key).select(row_key, col_key, "row_ix", "col_ix", "value")
 
 
@@ -201,22 +201,31 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     by_size = -(-int(dims["e"]) * ENTRY_BYTES // BUCKET_BYTES)
     parts = max(1, min(max_parts, max(spark.sparkContext.defaultParallelism, by_size)))
     cols3 = entries.select("row_ix", "col_ix", "value")
-    by_col = bucketed(cols3.withColumn("salt", F.pmod(F.xxhash64("row_ix"), F.lit(salts)).cast("int")),
-                      ["col_ix", "salt"], parts, "svd_by_col")
-    by_row = bucketed(cols3.withColumn("salt", F.pmod(F.xxhash64("col_ix"), F.lit(salts)).cast("int")),
-                      ["row_ix", "salt"], parts, "svd_by_row")
+    t_col = bucketed_table(cols3.withColumn("salt", F.pmod(F.xxhash64("row_ix"), F.lit(salts)).cast("int")),
+                           ["col_ix", "salt"], parts, "svd_by_col")
+    t_row = bucketed_table(cols3.withColumn("salt", F.pmod(F.xxhash64("col_ix"), F.lit(salts)).cast("int")),
+                           ["row_ix", "salt"], parts, "svd_by_row")
+    by_col, by_row = spark.table(t_col), spark.table(t_row)
+    scratch: list[str] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        """Intermediate block in the shared folder, deleted once U and V are written."""
+        path = shared_path(spark, name)
+        df.write.mode("overwrite").parquet(path)
+        scratch.append(path)
+        return spark.read.parquet(path)
     v = entries.select("col_ix").distinct().select("col_ix", *[
         ((F.xxhash64(F.col("col_ix"), F.lit(j), F.lit(seed)) % 2000003).cast("double") / 2000003.0).alias(n)
         for j, n in enumerate(_names("v", b))
     ])
-    y = materialise(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
+    y = write(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
     # q = y @ t is recomputed from the written y where used (one numpy pass), not stored.
     q, b = _orthonormalise(y, "row_ix", "y", b)
     blocks = [(q, b)]
     for _ in range(depth):
-        z = materialise(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b, salts), "svd-z")
+        z = write(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b, salts), "svd-z")
         w, b = _orthonormalise(z, "col_ix", "v", b)
-        y = materialise(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
+        y = write(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
         q, b = _orthonormalise(y, "row_ix", "y", b)
         blocks.append((q, b))
     # Krylov basis: all blocks side by side (same row set), orthonormalised together.
@@ -226,11 +235,11 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
         part = blk.select("row_ix", *[F.col(f"y{j}").alias(f"k{width + j}") for j in range(bi)])
         basis = part if basis is None else basis.join(part, "row_ix")
         width += bi
-    basis = materialise(basis, "svd-basis")
+    basis = write(basis, "svd-basis")
     kq, width = _orthonormalise(basis, "row_ix", "k", width)
-    kq = materialise(kq, "svd-kq")
+    kq = write(kq, "svd-kq")
     # Rayleigh-Ritz: A ~ K (K^T A) = K Z^T with Z = A^T K; SVD of the small factor from Z^T Z.
-    z = materialise(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width, salts), "svd-zk")
+    z = write(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width, salts), "svd-zk")
     lam, w = np.linalg.eigh(_gram(z, "z", width))
     order = np.argsort(lam)[::-1][: min(k, width)]
     lam, w = np.clip(lam[order], 0.0, None), w[:, order]
@@ -238,6 +247,10 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     inv = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0), 0.0)
     u = materialise(_combine(kq, "row_ix", "k", w, "u"), "svd-u")
     vk = materialise(_combine(z, "col_ix", "z", w * inv[None, :], "v"), "svd-v")
+    # U and V are in their own files now; the blocks and bucketed copies go.
+    remove_paths(spark, scratch)
+    drop_table(spark, t_col)
+    drop_table(spark, t_row)
     return SVDResult(u, s, vk, n_rows, n_cols, frob2)
 
 

@@ -32,6 +32,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -47,6 +48,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "rate
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", "16g")
@@ -118,3 +120,21 @@ def bucketed(df: DataFrame, key, buckets: int, name: str) -> DataFrame:
     against it then shuffle only the other side, so the layout is reused by
     every later stage instead of re-shuffling this (large) side each time."""
     return df.sparkSession.table(bucketed_table(df, key, buckets, name))
+
+
+def remove_paths(spark: SparkSession, paths) -> None:
+    """Delete intermediate outputs through the Hadoop FileSystem API (works on
+    HDFS / object stores as well as local disks)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a temporary bucketed table and delete its files."""
+    loc = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").select("data_type").first()
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if loc is not None:
+        remove_paths(spark, [loc[0]])
