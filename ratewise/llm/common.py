@@ -73,18 +73,23 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.R
     other columns pass through unchanged."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = T.StructType(list(df.schema.fields) + fields)
+    names = df.columns + [f.name for f in fields]
+    # Plain names on the way: mapInArrow itself can't address names with dots.
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType(list(plain.schema.fields) + fields)
     types = [to_arrow_type(f.dataType) for f in fields]
+    given = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(make(batch), types, strict=True)]
+            named = pa.RecordBatch.from_arrays(list(batch.columns), names=given)
+            new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(make(named), types, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 list(batch.columns) + new, names=list(batch.schema.names) + [f.name for f in fields])
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*names)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
