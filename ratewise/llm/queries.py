@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import exact, mixing, packing
+from ratewise.llm import exact, mixing, near, packing, rules
 from ratewise.llm.common import documents
 
 
+def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -22,8 +26,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(documents(spark, sf_dir))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.find_near(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_adaptive_rules": op2_adaptive_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
