@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import exact, mixing, near, packing, rules
-from ratewise.llm.common import documents
+from ratewise.llm import chat, exact, mixing, near, packing, pii, rules
+from ratewise.llm.common import documents, table
+
+
+def op1_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(documents(spark, sf_dir))
 
 
 def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(documents(spark, sf_dir))
 
 
+def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_report(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -31,7 +39,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_private_spans": op1_private_spans,
     "op2_adaptive_rules": op2_adaptive_rules,
+    "op3_chat_round_trip": op3_chat_round_trip,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
