@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import chat, exact, mixing, near, packing, pii, rules
+from ratewise.llm import chat, exact, fm, langid, mixing, near, packing, pii, rules
 from ratewise.llm.common import documents, table
 
 
@@ -38,6 +38,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.find_near(documents(spark, sf_dir))
 
 
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.rate_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op10_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_private_spans": op1_private_spans,
     "op2_adaptive_rules": op2_adaptive_rules,
@@ -46,4 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_quality_fm": op9_quality_fm,
+    "op10_language_bloom": op10_language_bloom,
 }
