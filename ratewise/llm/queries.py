@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import chat, exact, fm, langid, mixing, near, packing, pii, rules
+from ratewise.llm import chat, exact, fm, langid, lm, mixing, near, packing, pii, rules
 from ratewise.llm.common import documents, table
 
 
@@ -34,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(documents(spark, sf_dir))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.find_near(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_attention_lm": op7_attention_lm,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_fm": op9_quality_fm,
     "op10_language_bloom": op10_language_bloom,
