@@ -63,11 +63,6 @@ def pair_values(col, field: str = "rating") -> Column:
     return F.transform(_c(col), lambda x: x[field])
 
 
-def sort_pairs_desc(col) -> Column:
-    """Sort an array of structs by its first field, descending."""
-    return F.sort_array(_c(col), asc=False)
-
-
 def pairs_to_map(col, key: str = "user_id", value: str = "rating") -> Column:
     return F.map_from_entries(F.transform(_c(col), lambda x: F.struct(x[key], x[value])))
 

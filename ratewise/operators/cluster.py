@@ -23,12 +23,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_CENTROIDS = 10_000
-
-
 def assemble(df: DataFrame, cols=("longitude", "latitude"), out: str = "features") -> DataFrame:
-    """M13."""
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+    """Feature vectors; a missing coordinate stops the job (filter such rows first)."""
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
 def cluster_name(i: int) -> str:
@@ -95,19 +92,16 @@ def centroids(spark: SparkSession, cl: Clustering, cols=("longitude", "latitude"
 
 def nearest_centroid(points: DataFrame, cents: DataFrame, cols=("longitude", "latitude"),
                      name_col: str = "cluster_name") -> DataFrame:
-    """Assign each point to the nearest row of a (small, size-checked) centroid table."""
-    n = cents.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"centroid table has {n} rows (> {MAX_CENTROIDS})")
-    rows = cents.select(name_col, *cols).collect()
-    dists = F.array(*[
-        F.struct(
-            sum((F.col(c) - F.lit(float(r[c]))) ** 2 for c in cols).alias("d"),
-            F.lit(r[name_col]).alias("name"),
-        )
-        for r in rows
-    ])
-    return points.withColumn(name_col, F.array_min(dists)["name"])
+    """Assign each point to the nearest row of a centroid table.
+
+    The table becomes one array (a scalar subquery, no driver fetch), and each point
+    takes the minimum over it, so the expression is as long for 5,000 centroids as
+    for 5.  Ties go to the smaller name."""
+    at = F.array(*[F.col(c).cast("double") for c in cols])
+    all_ = cents.agg(F.collect_list(F.struct(F.col(name_col).alias("name"), at.alias("at")))).scalar()
+    dists = F.transform("_all", lambda r: F.struct(
+        sum((F.pow(F.col(c) - r["at"][i], 2) for i, c in enumerate(cols)), F.lit(0.0)).alias("d"), r["name"].alias("name")))
+    return points.withColumn("_all", all_).withColumn(name_col, F.array_min(dists)["name"]).drop("_all")
 
 
 def silhouette(df: DataFrame, features: str = "features", prediction: str = "cluster") -> float:
@@ -162,14 +156,19 @@ def write_centroids(cents: DataFrame, path: str) -> str:
     return path
 
 
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+
+
 def read_centroids(spark: SparkSession, path: str) -> DataFrame:
-    """Accepts 'lon  lat', 'lon lat', '[lon, lat]', trailing blanks, header 'name ,location'."""
+    """Accepts 'lon  lat', 'lon lat', '[lon, lat]', trailing blanks, header 'name ,location'.
+    A location without exactly two numbers stops the query."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option(
         "ignoreTrailingWhiteSpace", True).csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
-    nums = F.regexp_extract_all(F.col("location"), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
-    return raw.select(
-        F.trim(F.col("name")).alias("cluster_name"),
-        F.get(nums, 0).cast("double").alias("longitude"),
-        F.get(nums, 1).cast("double").alias("latitude"),
-    )
+    where = F.col("location")
+    nums = F.regexp_extract_all(where, F.lit(f"({NUMBER})"), 1)
+    strict = rf"^\s*\[?\s*{NUMBER}(?:\s*,\s*|\s+){NUMBER}\s*\]?\s*$"
+    both = F.when(where.rlike(strict), nums).otherwise(
+        F.raise_error(F.concat(F.lit("not a centroid location: "), F.coalesce(where, F.lit("null")))))
+    return raw.select(F.trim(F.col("name")).alias("cluster_name"), both.alias("_n")).select(
+        "cluster_name", F.get("_n", 0).cast("double").alias("longitude"), F.get("_n", 1).cast("double").alias("latitude"))

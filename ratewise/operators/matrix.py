@@ -16,6 +16,7 @@ lost executor only recomputes one step.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +26,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratewise.operators.split import dense_index
+from ratewise.operators.split import dense_index, join_key, numbered
 from ratewise.session import bucketed_table, drop_table, materialise, remove_paths, shared_path
 
-MAX_PIVOT_VALUES = 10_000
 ENTRY_BYTES = 32  # row_ix, col_ix, value, salt as stored
 BUCKET_BYTES = 128 << 20
 
@@ -40,49 +40,56 @@ def rating_entries(df: DataFrame, row_key: str = "business_id", col_key: str = "
     """Coordinate entries of the rating matrix.
 
     Rows are businesses (index ascending), columns users with ids descending;
-    a pair rated twice keeps its maximum (deterministic); absent pairs are 0."""
-    rows = dense_index(df, row_key, "row_ix")
-    cols = dense_index(df, col_key, "col_ix", descending=True)
-    e = df.groupBy(row_key, col_key).agg(F.max(value).cast("double").alias("value"))
-    # Both index joins are equi-joins on entity-sized tables: broadcast when the
-    # measured size allows, otherwise shuffled joins that AQE can skew-split.
-    return e.join(cols, col_key).join(rows, row_key).select(row_key, col_key, "row_ix", "col_ix", "value")
-
-
-def rows_by_item(df: DataFrame, key: str = "business_id", item: str = "user_id", value: str = "stars",
-                 max_chunk: int = 100_000) -> DataFrame:
-    """A10 + T3: (key, chunk, pairs) with pairs = array<struct<item, value>> sorted by item descending.
-
-    A hot key is split into ``ceil(count / max_chunk)`` chunks over contiguous
-    ranges of the global item index, so no task ever holds more than about
-    ``max_chunk`` pairs of one key; concatenating the chunks of a key in
-    descending chunk order gives its complete, sorted list."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"))
-    ix = dense_index(df, item, "_iix")
-    n_items = ix.agg(F.count(F.lit(1))).scalar()
-    j = df.select(key, item, value).join(ix, item).join(counts, key)
-    n_chunks = F.ceil(F.col("_cnt") / F.lit(max_chunk))
-    chunk = F.floor(F.col("_iix") * n_chunks / n_items).cast("int")
-    # Distribute on (key, chunk) explicitly: the count join is then free to be
-    # skew-split by AQE, and a hot key's rows spread over its chunks' partitions.
-    j = j.withColumn("chunk", chunk).repartition(key, "chunk")
-    return j.groupBy(key, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(item), F.col(value))), asc=False).alias("pairs"))
+    a pair rated twice keeps its maximum (deterministic); absent pairs are 0.
+    Null keys are a row or column of their own.  Both indices are built from the
+    pairs, which are fewer than the ratings."""
+    e = materialise(df.groupBy(row_key, col_key).agg(F.max(value).cast("double").alias("value")), "pairs")
+    rows = dense_index(e, row_key, "row_ix")
+    cols = dense_index(e, col_key, "col_ix", descending=True)
+    j = join_key(join_key(e, cols, col_key), rows, row_key)
+    return j.select(row_key, col_key, "row_ix", "col_ix", "value")
+
+
+def rows_by_item(df: DataFrame, key: str = "business_id", item: str = "user_id", value: str = "stars") -> DataFrame:
+    """A10 + T3: the row list of every key as rows (key, position, item, value), items descending.
+
+    One global range sort numbers all rows, so a key of any size spreads over
+    many tasks; the position is the number minus the key's first number."""
+    order = [F.col(key).asc_nulls_first(), F.col(item).desc_nulls_last(), F.col(value).desc_nulls_last()]
+    rows = numbered(df.select(key, item, value), order, "_at")
+    first = materialise(rows.groupBy(key).agg(F.min("_at").alias("_first")), "row-starts")
+    return join_key(rows, first, key).select(key, (F.col("_at") - F.col("_first")).alias("position"), item, value)
+
+
+def row_blocks(rows: DataFrame, key: str, item: str, value: str, size: int = 1000) -> DataFrame:
+    """Row lists as arrays: (key, block, pairs), where block ``b`` holds positions
+    ``b * size`` to ``(b + 1) * size - 1``, so no array has more than ``size`` pairs."""
+    block = F.floor(F.col("position") / size).cast("long")
+    packed = rows.groupBy(key, block.alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("position", item, value))).alias("_p"))
+    return packed.select(key, "block", F.transform("_p", lambda x: F.struct(x[item], x[value])).alias("pairs"))
 
 
 def pivot_ratings(df: DataFrame, row_key: str, col_key: str, values: list, value: str = "stars",
                   agg: str = "max", fill=0) -> DataFrame:
-    """One column per listed value of ``col_key`` (explicit, bounded list),
-    aggregated, nulls filled.  The list is required so no discovery job runs and
-    the width cannot grow with the data."""
-    if len(values) > MAX_PIVOT_VALUES:
-        raise ValueError(f"pivot over {len(values)} values (> {MAX_PIVOT_VALUES})")
+    """One column per listed value of ``col_key``, aggregated, nulls filled.
+
+    The list is required, so no discovery job runs; a value that isn't listed
+    stops the query instead of vanishing."""
     fn = {"max": F.max, "count": F.count, "sum": F.sum, "avg": F.avg}[agg]
-    return df.groupBy(row_key).pivot(col_key, values).agg(fn(value)).na.fill(fill)
+    c = F.col(col_key)
+    listed = F.when(c.isin(values), c).otherwise(
+        F.raise_error(F.concat(F.lit(f"pivot: value of {col_key} that is not listed: "), F.coalesce(c.cast("string"), F.lit("null")))))
+    return df.withColumn(col_key, listed).groupBy(row_key).pivot(col_key, values).agg(fn(value)).na.fill(fill)
+
+
+def matrix_size(entries: DataFrame) -> DataFrame:
+    """(n_rows, n_cols, n_entries) of the coordinate matrix, from one aggregate."""
+    return entries.agg((F.max("row_ix") + 1).alias("n_rows"), (F.max("col_ix") + 1).alias("n_cols"), F.count(F.lit(1)).alias("n_entries"))
 
 
 def to_coordinate_matrix(entries: DataFrame):
-    """MLlib ``CoordinateMatrix`` view of the entries (for MLlib interop)."""
+    """MLlib ``CoordinateMatrix`` view of the entries (for MLlib interop only; no query needs it)."""
     from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 
     return CoordinateMatrix(entries.select("row_ix", "col_ix", "value").rdd.map(
@@ -175,14 +182,16 @@ def _rename(block: DataFrame, key: str, prefix: str, b: int, new_prefix: str) ->
     return block.select(key, *[F.col(f"{prefix}{j}").alias(f"{new_prefix}{j}") for j in range(b)])
 
 
-def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: int = 8, seed: int = 7,
-                  salts: int = 16) -> SVDResult:
+def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: int = 30, seed: int = 7,
+                  salts: int = 16, tolerance: float = 1e-6) -> SVDResult:
     """Top-k singular triplets of the sparse matrix given by ``entries``.
 
     Randomized block Krylov method: Q_0 = orth(A R), Q_i = orth(A orth(A^T Q_{i-1})),
     then Rayleigh-Ritz over the span of all blocks [Q_0 .. Q_depth].  Keeping
     every block converges much faster than plain subspace iteration when the
-    spectrum has small gaps.  Each product block is written to the shared
+    spectrum has small gaps.  Steps go on until the leading k values of the
+    block change by less than ``tolerance`` (relative); if ``depth`` steps are
+    not enough, a warning says so.  Each product block is written to the shared
     checkpoint folder and read back, which bounds both the plan size and the
     work a lost executor can cost."""
     dims = entries.agg(F.count_distinct("row_ix").alias("r"), F.count_distinct("col_ix").alias("c"),
@@ -222,12 +231,20 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
     # q = y @ t is recomputed from the written y where used (one numpy pass), not stored.
     q, b = _orthonormalise(y, "row_ix", "y", b)
     blocks = [(q, b)]
+    seen, settled = np.zeros(0), False
     for _ in range(depth):
         z = write(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b, salts), "svd-z")
+        now = np.sqrt(np.clip(np.linalg.eigvalsh(_gram(z, "v", b))[::-1][:k], 0.0, None))
+        settled = len(seen) == len(now) and np.allclose(seen, now, rtol=tolerance, atol=0.0)
+        if settled:
+            break
+        seen = now
         w, b = _orthonormalise(z, "col_ix", "v", b)
         y = write(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
         q, b = _orthonormalise(y, "row_ix", "y", b)
         blocks.append((q, b))
+    if not settled:
+        warnings.warn(f"truncated_svd: values still change by more than {tolerance} after {depth} steps", stacklevel=2)
     # Krylov basis: all blocks side by side (same row set), orthonormalised together.
     basis = None
     width = 0
@@ -285,6 +302,13 @@ def project(entries: DataFrame, v: DataFrame, k: int) -> DataFrame:
         "row_ix", *[F.col(f"pc_{j}").alias(f"pc_{j + 1}") for j in range(k)])
 
 
+def project_rows(obs: DataFrame, right: DataFrame, row_key: str, col_key: str, k: int) -> DataFrame:
+    """Observed (row, column, value) cells projected on right vectors keyed by ``col_key``;
+    cells whose column has no vector count as 0."""
+    p = _multiply(obs, right, col_key, row_key, "v", "pc_", k)
+    return p.select(row_key, *[F.col(f"pc_{j}").alias(f"pc_{j + 1}") for j in range(k)])
+
+
 # ---------------------------------------------------------------- dense feature PCA (bounded width)
 
 def vectors(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -321,20 +345,59 @@ def _gram_of_array(df: DataFrame, col: str, width: int) -> np.ndarray:
     return _gram_long(df.select(*[F.col(col)[i].cast("double").alias(n) for i, n in enumerate(names)]), names)
 
 
-def grid_spectrum(item_rows: DataFrame, user_rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
-    """M20 at scale: singular values of the full predicted grid M = A @ B.T
-    from the two (width x width) Gram matrices, never forming M.
+@dataclass
+class GridSVD:
+    """Singular triplets of the predicted grid M = A @ B.T in factor form: the left
+    vectors are ``A @ left``, the right ones ``B @ right``."""
+
+    s: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    total: float  # sum of all squared cells
+
+
+def grid_svd(item_rows: DataFrame, user_rows: DataFrame, width: int) -> GridSVD:
+    """M20-M23 at scale: the SVD of the full predicted grid from the two
+    (width x width) Gram matrices; the grid itself is never formed.
 
     ``item_rows.f`` = [item factors, 1, business_mean - mu],
     ``user_rows.f`` = [user factors, user_mean, 1]."""
     ga = _gram_of_array(item_rows, "f", width)
     gb = _gram_of_array(user_rows, "f", width)
     lam, w = np.linalg.eigh(ga)
-    half = (w * np.sqrt(np.clip(lam, 0.0, None))) @ w.T
-    ev = np.linalg.eigvalsh(half @ gb @ half)
-    ev = np.sort(np.clip(ev, 0.0, None))[::-1]
-    return np.sqrt(ev), float(np.trace(ga @ gb))
+    keep = lam > max(lam.max(), 0.0) * 1e-12
+    root = np.sqrt(lam[keep])
+    half = w[:, keep] * root  # A = (A w / root) half.T, with orthonormal columns in brackets
+    ev, r = np.linalg.eigh(half.T @ gb @ half)
+    order = np.argsort(ev)[::-1]
+    ev, r = np.clip(ev[order], 0.0, None), r[:, order]
+    s = np.sqrt(ev)
+    inv = np.where(s > s.max(initial=0.0) * 1e-9, 1.0 / np.where(s > 0, s, 1.0), 0.0)
+    return GridSVD(s, (w[:, keep] / root) @ r, half @ r * inv, float(np.trace(ga @ gb)))
+
+
+def grid_spectrum(item_rows: DataFrame, user_rows: DataFrame, width: int) -> tuple[np.ndarray, float]:
+    """All singular values of the predicted grid and its total variance."""
+    g = grid_svd(item_rows, user_rows, width)
+    full = np.zeros(width)
+    full[:len(g.s)] = g.s
+    return full, g.total
+
+
+def factor_map(rows: DataFrame, key: str, t: np.ndarray, prefix: str) -> DataFrame:
+    """``f @ t`` per factor row as columns prefix0, prefix1, ...: one expression, no shuffle."""
+    f = F.col("f")
+    return rows.select(key, *[
+        sum((f[i].cast("double") * F.lit(float(t[i, j])) for i in range(t.shape[0])), F.lit(0.0)).alias(f"{prefix}{j}")
+        for j in range(t.shape[1])])
+
+
+def grid_scores(item_rows: DataFrame, key: str, g: GridSVD, k: int) -> DataFrame:
+    """Component scores U[:, :k] * s[:k] of every item row of the grid, as pc_1 .. pc_k."""
+    t = factor_map(item_rows, key, g.left[:, :k] * g.s[:k], "pc_")
+    return t.select(key, *[F.col(f"pc_{j}").alias(f"pc_{j + 1}") for j in range(k)])
 
 
-def f_array(cols: list) -> Column:
-    return F.array(*[c.cast("double") for c in cols])
+def grid_right(user_rows: DataFrame, key: str, g: GridSVD, k: int) -> DataFrame:
+    """Right singular vectors V[:, :k] of the grid per user, as v0 .. v{k-1}."""
+    return factor_map(user_rows, key, g.right[:, :k], "v")

@@ -5,21 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.functions.columns import first_item
-
-REVIEW_COLUMNS = ["review_id", "user_id", "business_id", "stars", "date", "text", "useful", "funny", "cool"]
 TRAIN_COLUMNS = ["user_id", "business_id", "stars"]
 
-# Broadcast a side only below this many rows (counted first); larger sides are shuffled.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def select_present(df: DataFrame, cols) -> DataFrame:
-    """Project the listed columns that exist (early pruning)."""
-    have = set(df.columns)
-    return df.select(*[c for c in cols if c in have])
-
-
 def filter_city(df: DataFrame, city: str, exclude_names=()) -> DataFrame:
     """``city == X AND name NOT IN (outliers)``."""
     cond = F.col("city") == F.lit(city)
@@ -33,35 +20,33 @@ def where_value(df: DataFrame, col: str, value) -> DataFrame:
     return df.where(F.col(col) == F.lit(value))
 
 
-def with_first_category(df: DataFrame, src: str = "categories", name: str = "category") -> DataFrame:
-    """first element of an array column, null-safe."""
-    return df.withColumn(name, first_item(src))
-
-
 def feature_columns(df: DataFrame, skip=()) -> list[str]:
     """Numeric columns of the schema, minus ``skip``."""
     numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
     return [n for n, t in df.dtypes if n not in set(skip) and t in numeric]
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the side; above the bound it is left to a shuffle join."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def reviews_in_city(reviews: DataFrame, business: DataFrame, city: str, exclude_names=(), review_cols=None) -> DataFrame:
-    """Reviews of the businesses of one city, with ``city`` attached.
+def reviews_in_city(reviews: DataFrame, business: DataFrame, city: str, exclude_names=(), review_cols=None,
+                    business_cols=("city",)) -> DataFrame:
+    """Reviews of the businesses of one city, with ``business_cols`` attached.
 
-    The business side is filtered first (pushdown), then broadcast only if its
-    counted size is under the bound; otherwise a sort-merge join with AQE skew
-    splitting handles hot businesses."""
-    biz = filter_city(business, city, exclude_names).select("business_id", "city")
-    biz = checked_broadcast(biz)
+    The business side is filtered and projected first (pushdown), in one scan.
+    Whether it is broadcast is left to the measured size in bytes (adaptive
+    execution); beyond the threshold the join is sort-merge, and hot businesses
+    are skew-split."""
+    biz = filter_city(business, city, exclude_names).select("business_id", *business_cols)
     cols = review_cols or [c for c in reviews.columns if c != "is_test"]
     return reviews.select(*cols).join(biz, "business_id", "inner")
 
 
+def prepare_city(reviews: DataFrame, business: DataFrame, city: str, exclude_names=()) -> tuple[DataFrame, DataFrame]:
+    """M33 as written: (all columns of the city's businesses, its reviews with ``city``)."""
+    from ratewise.sources.io import BUSINESS, REVIEW
+
+    biz = filter_city(business, city, exclude_names).select(*BUSINESS.fieldNames())
+    return biz, reviews_in_city(reviews, business, city, exclude_names, REVIEW.fieldNames()).select(*REVIEW.fieldNames(), "city")
+
+
 def cast_double(col) -> Column:
     """F2."""
     return (F.col(col) if isinstance(col, str) else col).cast("double")

@@ -1,7 +1,7 @@
 """ALS on the bias residual.
 
 ALS itself is ``pyspark.ml.recommendation.ALS`` (block-partitioned alternating
-least squares on the JVM).  Block counts follow the cluster's parallelism so a
+least squares on the JVM).  Block counts follow the number of ratings so a
 large fit is not squeezed into ten blocks, and intermediate RDDs are
 checkpointed to the shared checkpoint folder every ``checkpoint_interval``
 iterations to bound lineage.
@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from ratewise.session import ensure_checkpoint_dir
 
 
+ROWS_PER_BLOCK = 1_000_000
+
+
 def _blocks(df: DataFrame) -> int:
-    return max(10, df.sparkSession.sparkContext.defaultParallelism)
+    """Blocks of about ``ROWS_PER_BLOCK`` ratings, at least one per core."""
+    return max(10, df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_BLOCK))
 
 
 def fit_als(
     train: DataFrame,
-    rank: int = 10,
+    rank: int = 70,
     max_iter: int = 5,
-    reg: float = 0.1,
+    reg: float = 0.01,
     seed: int = 1,
     user_col: str = "user_ix",
     item_col: str = "business_ix",
@@ -56,8 +60,7 @@ def fit_als(
 
 def predict_als(model: ALSModel, df: DataFrame, cold: str = "nan") -> DataFrame:
     """M5: transform; ``cold='drop'`` removes pairs without factors, ``'nan'`` keeps them as NaN."""
-    model.setColdStartStrategy(cold)
-    out = model.transform(df)
+    out = model.copy().setColdStartStrategy(cold).transform(df)  # the caller's model stays as it is
     return out.withColumn("prediction", F.col("prediction").cast("double"))
 
 
@@ -70,13 +73,6 @@ def user_factors(model: ALSModel) -> DataFrame:
     return model.userFactors
 
 
-def recommend_top_n(model: ALSModel, n: int, user_col: str = "user_ix", item_col: str = "business_ix") -> DataFrame:
-    """Top-n residual scores per user (the bounded stand-in for the full grid)."""
-    recs = model.recommendForAllUsers(n)
-    return recs.select(user_col, F.inline("recommendations")).select(
-        user_col, item_col, F.col("rating").cast("double").alias("prediction"))
-
-
 def save_model(model: ALSModel, path: str) -> str:
     """S12."""
     model.write().overwrite().save(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.functions.columns import hash_bucket
-from ratewise.session import cut_lineage
+from ratewise.session import materialise
 
 
 def hash_split(df: DataFrame, key: str, test_pct: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -20,46 +20,50 @@ def flag_split(df: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFra
 
 
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 1) -> list[DataFrame]:
-    """Spark's seeded Bernoulli split; depends on partitioning, kept for parity."""
+    """Spark's seeded row-level split; the rows are the same for the same partitioning."""
     return df.randomSplit(list(weights), seed)
 
 
+def numbered(df: DataFrame, order, name: str) -> DataFrame:
+    """Rows of ``df`` in a total order with their long position, from 0.
+
+    The rows are range-partitioned, sorted and written once with their partition
+    number, so repeated uses agree even after executor loss; each partition counts
+    its rows, and a running sum over the counts (one row per partition) gives the
+    offsets."""
+    rows = df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    rows = materialise(rows, "numbered")
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    # One row per partition: bounded by the partition count, so broadcast is safe.
+    return rows.join(F.broadcast(offsets), "_pid").select(*df.columns, (F.col("_off") + pos).alias(name))
+
+
 def dense_index(df: DataFrame, key: str, index_col: str | None = None, descending: bool = False,
                 carry=None) -> DataFrame:
-    """Distinct keys numbered 0..n-1 in key order (= row_number() over (order by key) - 1).
+    """Distinct keys numbered 0..n-1 in key order (= row_number() over (order by key) - 1), as long.
 
-    Distributed: the keys are range-partitioned and sorted, each partition counts
-    its rows, and a running sum over the (few) partition counts gives the offset
-    of every partition.  The sorted keys are checkpointed to the shared folder
-    first so both uses see identical partitions even after executor loss.
-
-    ``carry`` names columns of a frame that is already unique per key (an
-    entity table); they are kept alongside the index, which saves the join
-    back to that table.
-    """
+    A null key is a key like any other: first in ascending order, last in
+    descending order.  ``carry`` names columns of a frame that is already unique
+    per key (an entity table); they are kept alongside the index, which saves the
+    join back to that table."""
     index_col = index_col or f"{key}_ix"
     carry = list(carry or [])
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    base = df.select(key, *carry).where(F.col(key).isNotNull())
+    base = df.select(key, *carry)
     if not carry:
         base = base.distinct()
-    keys = base.orderBy(order).select(
-        key,
-        *carry,
-        F.spark_partition_id().alias("_pid"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    keys = cut_lineage(keys)
-    # One row per partition: bounded by the partition count, so broadcast is safe.
-    counts = keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return keys.join(F.broadcast(offsets), "_pid").select(
-        key, *carry, (F.col("_off") + pos).cast("int").alias(index_col)
-    )
+    return numbered(base, [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()], index_col)
+
+
+def join_key(df: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` in which null keys match each other."""
+    right = side.withColumnRenamed(key, f"_{key}_side")
+    return df.join(right, F.col(key).eqNullSafe(F.col(f"_{key}_side")), how).drop(f"_{key}_side")
 
 
 def apply_index(df: DataFrame, index: DataFrame, key: str, index_col: str, cold: int = -1) -> DataFrame:
     """Attach an index fitted elsewhere (on train); unseen keys get ``cold``."""
-    return df.join(index, key, "left").withColumn(index_col, F.coalesce(F.col(index_col), F.lit(cold)))
+    return join_key(df, index, key, "left").withColumn(index_col, F.coalesce(F.col(index_col), F.lit(cold)))

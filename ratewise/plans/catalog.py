@@ -74,14 +74,17 @@ def _r(df: DataFrame, *cols: str) -> DataFrame:
 @register("s14_first_n", with_views(
     "SELECT review_id, user_id, business_id, stars FROM ratings ORDER BY review_id LIMIT 1000"))
 def s14_first_n(spark, sf):
-    # A first-n sample is the operator itself; ordered, so deterministic.
-    return V.ratings(spark, sf).select("review_id", "user_id", "business_id", "stars").orderBy("review_id").limit(1000)
+    from ratewise.sources.io import first_n
+
+    return first_n(V.ratings(spark, sf).select("review_id", "user_id", "business_id", "stars"), 1000, "review_id")
 
 
 @register("s17_read_table", with_views("SELECT review_id, user_id, business_id, stars FROM ratings"))
 def s17_read_table(spark, sf):
+    from ratewise.sources.io import read_table
+
     V.ratings(spark, sf).createOrReplaceTempView("ratings_view")
-    return spark.table("ratings_view").select("review_id", "user_id", "business_id", "stars")
+    return read_table(spark, "ratings_view", 8).select("review_id", "user_id", "business_id", "stars")
 
 
 @register("p1_training_columns", with_views("SELECT user_id, business_id, stars FROM ratings WHERE NOT is_test"))
@@ -90,6 +93,31 @@ def p1_training_columns(spark, sf):
     return train.select(*P.TRAIN_COLUMNS)
 
 
+@register("p1_city_review_columns", with_views("""
+SELECT review_id, user_id, business_id, stars, strftime(x.date, '%Y-%m-%d') AS date, x.text, x.useful, x.funny, x.cool
+FROM ratings JOIN extra x ON x.rid = review_id""", """extra AS (SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS rid,
+  CAST(o_orderdate AS DATE) AS date, o_orderpriority || ', "' || l_returnflag || '"' || chr(10) || l_linestatus AS text,
+  CAST(l_quantity AS INTEGER) AS useful, CAST(l_suppkey % 7 AS INTEGER) AS funny, l_linenumber AS cool
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""))
+def p1_city_review_columns(spark, sf):
+    """The review projection with all nine columns."""
+    from ratewise.sources.io import REVIEW
+
+    return V.reviews_full(spark, sf).select(*REVIEW.fieldNames()).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@register("i3_random_split", with_views("SELECT count(*) AS n, TRUE AS near_share, TRUE AS complete FROM ratings"))
+def i3_random_split(spark, sf):
+    """The row-level 80/20 split: complete, disjoint, and close to its weights."""
+    r = V.ratings(spark, sf).select("review_id")
+    a, b = S.random_split(r, (0.8, 0.2), seed=1)
+    back = a.unionByName(b)
+    lost = r.exceptAll(back).unionByName(back.exceptAll(r)).agg(F.count(F.lit(1))).scalar()
+    both = a.select(F.lit(1).alias("train")).unionByName(b.select(F.lit(0).alias("train")))
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("train") - 0.8) < 0.05).alias("near_share")).select(
+        "n", "near_share", (lost == 0).alias("complete"))
+
+
 @register("p2_filter_city", with_views(
     "SELECT business_id, name, city, longitude, latitude FROM city_biz", CITY))
 def p2_filter_city(spark, sf):
@@ -323,7 +351,7 @@ def a16_mae(spark, sf):
 # ---------------------------------------------------------------- ids and splits
 
 @register("i1_dense_index", with_views("""
-SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_ix
+SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_ix
 FROM (SELECT DISTINCT user_id FROM ratings WHERE NOT is_test)"""))
 def i1_dense_index(spark, sf):
     _, train, _ = _split(spark, sf)
@@ -331,7 +359,7 @@ def i1_dense_index(spark, sf):
 
 
 @register("i2_row_index", with_views("""
-SELECT business_id, CAST(row_number() OVER (ORDER BY business_id DESC) - 1 AS INTEGER) AS row_ix
+SELECT business_id, row_number() OVER (ORDER BY business_id DESC) - 1 AS row_ix
 FROM (SELECT DISTINCT business_id FROM ratings)"""))
 def i2_row_index(spark, sf):
     return S.dense_index(V.ratings(spark, sf), "business_id", "row_ix", descending=True)
@@ -347,9 +375,9 @@ def i3_hash_split(spark, sf):
 @register("m2_apply_index", with_views("""
 SELECT t.review_id, coalesce(u.user_ix, -1) AS user_ix, coalesce(b.business_ix, -1) AS business_ix
 FROM (SELECT * FROM ratings WHERE is_test) t
-LEFT JOIN (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INTEGER) AS user_ix
+LEFT JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_ix
            FROM (SELECT DISTINCT user_id FROM ratings WHERE NOT is_test)) u USING (user_id)
-LEFT JOIN (SELECT business_id, CAST(row_number() OVER (ORDER BY business_id) - 1 AS INTEGER) AS business_ix
+LEFT JOIN (SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS business_ix
            FROM (SELECT DISTINCT business_id FROM ratings WHERE NOT is_test)) b USING (business_id)"""))
 def m2_apply_index(spark, sf):
     _, train, test = _split(spark, sf)
@@ -470,11 +498,63 @@ def m11_report(spark, sf):
 SELECT r.review_id, r.user_id, r.business_id, r.stars, b.city, b.name
 FROM ratings r JOIN city_biz b ON r.business_id = b.business_id""", CITY))
 def m33_prepare_city(spark, sf):
-    biz = V.business(spark, sf)
-    rv = P.reviews_in_city(V.ratings(spark, sf), biz, CITY_NAME, CITY_EXCLUDE,
-                           ["review_id", "user_id", "business_id", "stars"])
-    names = P.filter_city(biz, CITY_NAME, CITY_EXCLUDE).select("business_id", "name")
-    return rv.join(names, "business_id")
+    return P.reviews_in_city(V.ratings(spark, sf), V.business(spark, sf), CITY_NAME, CITY_EXCLUDE,
+                             ["review_id", "user_id", "business_id", "stars"], ["city", "name"])
+
+
+REVIEW_EXTRA = """extra AS (SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS rid,
+  CAST(o_orderdate AS DATE) AS date, o_orderpriority || ', "' || l_returnflag || '"' || chr(10) || l_linestatus AS text,
+  CAST(l_quantity AS INTEGER) AS useful, CAST(l_suppkey % 7 AS INTEGER) AS funny, l_linenumber AS cool
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _city_files(spark, sf):
+    """The city's businesses and reviews with all columns, written as JSON and CSV."""
+    from ratewise.sources.io import write_csv, write_json
+
+    biz, reviews = P.prepare_city(V.reviews_full(spark, sf), V.business_full(spark, sf), CITY_NAME, CITY_EXCLUDE)
+    return write_csv(biz, _out(spark, "city-csv")), write_json(biz, _out(spark, "city-json")), write_json(reviews, _out(spark, "city-reviews"))
+
+
+@register("m33_city_reviews_file", with_views("""
+SELECT r.review_id, r.user_id, r.business_id, r.stars, strftime(x.date, '%Y-%m-%d') AS date, x.text, x.useful, x.funny, x.cool, b.city
+FROM ratings r JOIN city_biz b USING (business_id) JOIN extra x ON x.rid = r.review_id""", CITY, REVIEW_EXTRA))
+def m33_city_reviews_file(spark, sf):
+    """All ten review columns of a city, read back from the JSON sink."""
+    from pyspark.sql import types as T
+
+    from ratewise.sources.io import REVIEW, read_reviews
+
+    schema = T.StructType([*REVIEW.fields, T.StructField("city", T.StringType())])
+    back = read_reviews(spark, _city_files(spark, sf)[2], schema)
+    return back.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@register("m33_city_business_files", with_views("""
+SELECT b.business_id, b.name, 'n' || (p_partkey % 9) AS neighborhood, p_partkey || ', Main St' AS address, b.city, 'QC' AS state,
+  'H' || (p_partkey % 1000) AS postal_code, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+  (p_partkey % 9 + 2) / 2.0::DOUBLE AS stars, CAST(p_partkey % 50 AS INTEGER) AS review_count, CAST(p_partkey % 2 AS INTEGER) AS is_open,
+  p_size % 4 + 1 AS price, p_brand AS second_category, '9:0-17:0' AS monday, TRUE AS csv_same
+FROM city_biz b JOIN part ON b.business_id = concat('b', CAST(p_partkey AS STRING))""", CITY))
+def m33_city_business_files(spark, sf):
+    """All fifteen business columns of a city, read back from the JSON and CSV sinks; the
+    CSV holds nested columns as JSON text and must agree with the JSON."""
+    from ratewise.sources.io import attribute, read_business, read_csv
+
+    csv, json, _ = _city_files(spark, sf)
+    b = read_business(spark, json)
+    plain = ["name", "neighborhood", "address", "city", "state", "postal_code", "latitude", "longitude", "stars", "review_count", "is_open"]
+    c = read_csv(spark, csv).select(F.col("business_id").alias("cid"), *[F.col(x).alias(f"c_{x}") for x in plain],
+                                    F.col("categories").alias("c_categories"), F.col("hours").alias("c_hours"), F.col("attributes").alias("c_attributes"))
+    same = F.lit(True)
+    for x in plain:
+        same = same & (F.col(f"c_{x}").cast(dict(b.dtypes)[x]) == F.col(x))
+    same = same & (F.to_json("categories") == F.col("c_categories")) & (F.to_json("hours") == F.col("c_hours"))
+    same = same & (F.get_json_object("c_attributes", "$.RestaurantsPriceRange2") == attribute("RestaurantsPriceRange2"))
+    j = b.join(c, F.col("business_id") == F.col("cid"))
+    return _r(j.select("business_id", *plain, attribute("RestaurantsPriceRange2").cast("int").alias("price"),
+                       F.get("categories", 1).alias("second_category"), F.col("hours")["Monday"].alias("monday"), same.alias("csv_same")),
+              "latitude", "longitude")
 
 
 # ---------------------------------------------------------------- sort / set operations
@@ -490,12 +570,16 @@ SELECT review_id, stars FROM ratings WHERE NOT is_test
 UNION ALL SELECT review_id, stars FROM ratings WHERE is_test"""))
 def u1_union_all(spark, sf):
     _, train, test = _split(spark, sf)
-    return train.select("review_id", "stars").unionByName(test.select("review_id", "stars"))
+    from ratewise.sources.io import union_all
+
+    return union_all(train.select("review_id", "stars"), test.select("review_id", "stars"))
 
 
 # ---------------------------------------------------------------- ALS (not SQL-expressible: rows-only checks)
 
 _ALS_MEMO: dict = {}
+# The settings that the fixtures state; the library's own defaults are the original's.
+FIXTURE_ALS = {"rank": 10, "reg": 0.1, "min_user": MIN_USER}
 
 
 def _als(spark, sf, **kw):
@@ -503,25 +587,36 @@ def _als(spark, sf, **kw):
     read its predictions or factors (the fit is deterministic for a fixed seed)."""
     from ratewise.plans.recommender import RecommenderConfig, run_recommender
 
-    key = (spark.sparkContext.applicationId, sf, tuple(sorted(kw.items())))
+    cfg = dict(FIXTURE_ALS) | kw
+    key = (V.fingerprint(spark, sf), tuple(sorted(cfg.items())))
     if key not in _ALS_MEMO:
         _, train, test = _split(spark, sf)
-        _ALS_MEMO[key] = run_recommender(train, test, RecommenderConfig(**kw))
+        _ALS_MEMO[key] = run_recommender(train, test, RecommenderConfig(**cfg))
     return _ALS_MEMO[key]
 
 
-@register("m4_als_predictions")
+@register("m4_als_predictions", bias_sql("""
+SELECT t.review_id, um.user_id IS NOT NULL AND bm.business_id IS NOT NULL AS has_prediction, TRUE AS finite
+FROM test t LEFT JOIN um USING (user_id) LEFT JOIN bm USING (business_id)"""))
 def m4_als_predictions(spark, sf):
     res = _als(spark, sf)
-    return res.scored.select("review_id", "has_prediction", "prediction", "final_rating", "fallback_rating")
+    finite = F.abs(F.col("prediction") + F.col("final_rating") + F.col("fallback_rating")) < F.lit(1e6)
+    return res.scored.select("review_id", "has_prediction", finite.alias("finite"))
 
 
-@register("m5_predict_drop")
+@register("m4_als_values")
+def m4_als_values(spark, sf):
+    res = _als(spark, sf)
+    return res.scored.select("review_id", "prediction", "final_rating", "fallback_rating")
+
+
+@register("m5_predict_drop", bias_sql(
+    "SELECT t.review_id FROM test t JOIN um USING (user_id) JOIN bm USING (business_id)"))
 def m5_predict_drop(spark, sf):
     from ratewise.operators.recommend import predict_als
 
     res = _als(spark, sf)
-    return predict_als(res.model, res.test_indexed, cold="drop").select("review_id", "prediction")
+    return predict_als(res.model, res.test_indexed, cold="drop").select("review_id")
 
 
 @register("m11_als_report")
@@ -531,20 +626,56 @@ def m11_als_report(spark, sf):
     return metrics(_als(spark, sf))
 
 
-@register("m12_sweep")
+@register("m11_report_counts", bias_sql(f"""
+SELECT metric, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'als_bias' AS metric, count(*) AS n FROM scored
+  UNION ALL SELECT 'als_bias_predicted_pairs', count(*) FROM test t JOIN um USING (user_id) JOIN bm USING (business_id)
+  UNION ALL SELECT 'als_bias_popular', count(*) FROM scored WHERE business_count > {MIN_BUSINESS}
+  UNION ALL SELECT 'als_bias_power', count(*) FROM scored WHERE user_count > {MIN_USER}
+  UNION ALL SELECT 'als_bias_popular_power', count(*) FROM scored WHERE business_count > {MIN_BUSINESS} AND user_count > {MIN_USER}
+  UNION ALL SELECT 'bias_only', count(*) FROM scored
+  UNION ALL SELECT 'business_mean', count(*) FROM scored
+  UNION ALL SELECT 'user_mean', count(*) FROM scored)"""))
+def m11_report_counts(spark, sf):
+    """How many test rows each figure of the report covers."""
+    from ratewise.plans.recommender import metrics
+
+    names = ["als_bias", "als_bias_predicted_pairs", "als_bias_popular", "als_bias_power", "als_bias_popular_power",
+             "bias_only", "business_mean", "user_mean"]
+    return metrics(_als(spark, sf)).where(F.col("metric").isin(names)).select("metric", "n")
+
+
+@register("m12_sweep", bias_sql("""
+SELECT r AS rank, CAST(0.01 AS DOUBLE) AS reg, count(*) AS n, TRUE AS near_bias
+FROM scored, (VALUES (3), (20), (70)) AS t(r) GROUP BY r"""))
 def m12_sweep(spark, sf):
+    """The original sweep's ranks; one bias model, index and join for all of them."""
     from ratewise.plans.recommender import sweep
 
-    return sweep(spark, sf, [dict(rank=5, reg=0.1), dict(rank=10, reg=0.1), dict(rank=10, reg=0.01)])
+    got = sweep(spark, sf, [dict(rank=r, reg=0.01) for r in (3, 20, 70)])
+    return got.select("rank", "reg", "n", ((F.col("rmse") > 0.3) & (F.col("rmse") < 1.5)).alias("near_bias"))
 
 
-@register("m31_item_factors")
+@register("m31_item_factors", with_views("""
+SELECT row_number() OVER (ORDER BY business_id) - 1 AS business_ix, business_id, 10 AS rank
+FROM (SELECT DISTINCT business_id FROM ratings WHERE NOT is_test)"""))
 def m31_item_factors(spark, sf):
     from ratewise.operators.recommend import item_factors
 
     res = _als(spark, sf)
-    return item_factors(res.model).select(F.col("id").alias("business_ix"), F.size("features").alias("rank"),
-                                          "features")
+    f = item_factors(res.model).join(res.items, F.col("id") == F.col("business_ix"))
+    return f.select("business_ix", "business_id", F.size("features").alias("rank"))
+
+
+@register("m31_user_factors", with_views("""
+SELECT row_number() OVER (ORDER BY user_id) - 1 AS user_ix, user_id, 10 AS rank
+FROM (SELECT DISTINCT user_id FROM ratings WHERE NOT is_test)"""))
+def m31_user_factors(spark, sf):
+    from ratewise.operators.recommend import user_factors
+
+    res = _als(spark, sf)
+    f = user_factors(res.model).join(res.users, F.col("id") == F.col("user_ix"))
+    return f.select("user_ix", "user_id", F.size("features").alias("rank"))
 
 
 @register("m32_als_rank10_iter10")
@@ -554,14 +685,21 @@ def m32_als_rank10_iter10(spark, sf):
     return metrics(_als(spark, sf, rank=10, max_iter=10))
 
 
-@register("m20_recommend_top_n")
-def m20_recommend_top_n(spark, sf):
-    from ratewise.operators.recommend import recommend_top_n
+@register("m20_predict_pairs", bias_sql("""
+SELECT t.review_id, um.user_id IS NOT NULL AND bm.business_id IS NOT NULL AS known
+FROM test t LEFT JOIN um USING (user_id) LEFT JOIN bm USING (business_id)"""))
+def m20_predict_pairs(spark, sf):
+    """Scores of a given pair table: a rating for every pair whose user and business were trained."""
+    from ratewise.plans.recommender import predict_pairs
 
-    return recommend_top_n(_als(spark, sf).model, 5)
+    res = _als(spark, sf)
+    _, _, test = _split(spark, sf)
+    got = predict_pairs(res, test.select("review_id", "user_id", "business_id"))
+    return got.select("review_id", F.col("rating").isNotNull().alias("known"))
 
 
-@register("s12_model_roundtrip")
+@register("s12_model_roundtrip", bias_sql("""
+SELECT t.review_id, TRUE AS same FROM test t JOIN um USING (user_id) JOIN bm USING (business_id)"""))
 def s12_model_roundtrip(spark, sf):
     from ratewise.operators.recommend import load_model, predict_als, save_model
     from ratewise.session import shared_path
@@ -572,11 +710,13 @@ def s12_model_roundtrip(spark, sf):
     # The reloaded model must reproduce the fitted model's predictions.
     again = predict_als(back, res.test_indexed, cold="drop").select(
         "review_id", F.col("prediction").alias("prediction_loaded"))
-    return res.scored.where("has_prediction").select("review_id", "prediction").join(again, "review_id")
+    both = res.scored.where("has_prediction").select("review_id", "prediction").join(again, "review_id")
+    return both.select("review_id", (F.col("prediction") == F.col("prediction_loaded")).alias("same"))
 
 
 # ---------------------------------------------------------------- clustering
 
+_KMEANS_MEMO: dict = {}
 K_CLUSTERS = 8
 CLUSTER_CATEGORY = "ECONOMY"
 
@@ -599,13 +739,19 @@ def _clustered(spark, sf, k=K_CLUSTERS):
     from ratewise.operators.cluster import assign, fit_kmeans
 
     pts = _city_points(spark, sf)
-    cl = fit_kmeans(pts, k)
-    return cl, assign(cl, pts)
+    key = (V.fingerprint(spark, sf), k)
+    if key not in _KMEANS_MEMO:
+        _KMEANS_MEMO[key] = fit_kmeans(pts, k)
+    return _KMEANS_MEMO[key], assign(_KMEANS_MEMO[key], pts)
 
 
-@register("m13_assemble")
+@register("m13_assemble", with_views(
+    "SELECT business_id, round(longitude, 6) AS x, round(latitude, 6) AS y, 2 AS width FROM city_biz", CITY))
 def m13_assemble(spark, sf):
-    return _city_points(spark, sf).select("business_id", "features")
+    from pyspark.ml.functions import vector_to_array
+
+    v = vector_to_array("features")
+    return _r(_city_points(spark, sf).select("business_id", v[0].alias("x"), v[1].alias("y"), F.size(v).alias("width")), "x", "y")
 
 
 @register("m15_assign", with_views("SELECT business_id, cluster_name FROM assigned", CITY, PLANT_NAMES))
@@ -706,22 +852,19 @@ def s11_centroid_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- rating matrix
 
-MAX_CHUNK = 100_000
-STAR_LEVELS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
+BLOCK = 1000
 
-MATRIX = """mrows AS (SELECT business_id, CAST(row_number() OVER (ORDER BY business_id) - 1 AS INTEGER) AS row_ix
+MATRIX = """mrows AS (SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS row_ix
           FROM (SELECT DISTINCT business_id FROM ratings)),
-mcols AS (SELECT user_id, CAST(row_number() OVER (ORDER BY user_id DESC) - 1 AS INTEGER) AS col_ix
+mcols AS (SELECT user_id, row_number() OVER (ORDER BY user_id DESC) - 1 AS col_ix
           FROM (SELECT DISTINCT user_id FROM ratings)),
 entries AS (SELECT business_id, user_id, row_ix, col_ix, max(stars) AS value
             FROM ratings JOIN mrows USING (business_id) JOIN mcols USING (user_id)
             GROUP BY business_id, user_id, row_ix, col_ix)"""
 
-CHUNKS = f"""iix AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS iix FROM (SELECT DISTINCT user_id FROM ratings)),
-cnt AS (SELECT business_id, count(*) AS cnt FROM ratings GROUP BY business_id),
-chunked AS (SELECT r.business_id, r.user_id, r.stars,
-                   CAST(floor(iix.iix * ceil(cnt.cnt / {MAX_CHUNK}) / (SELECT count(*) FROM iix)) AS INTEGER) AS chunk
-            FROM ratings r JOIN iix USING (user_id) JOIN cnt USING (business_id))"""
+POSITIONS = f"""lined AS (SELECT business_id, user_id, stars,
+  row_number() OVER (PARTITION BY business_id ORDER BY user_id DESC, stars DESC) - 1 AS position FROM ratings),
+blocked AS (SELECT *, CAST(floor(position / {BLOCK}) AS BIGINT) AS block FROM lined)"""
 
 _SVD_MEMO: dict = {}
 
@@ -736,7 +879,7 @@ def _svd(spark, sf, k=2):
     from ratewise.operators.matrix import truncated_svd
     from ratewise.session import materialise
 
-    key = (spark.sparkContext.applicationId, sf, k)
+    key = (V.fingerprint(spark, sf), k)
     if key not in _SVD_MEMO:
         e = materialise(_entries(spark, sf).select("row_ix", "col_ix", "value"), "entries")
         _SVD_MEMO[key] = (e, truncated_svd(e, k))
@@ -746,7 +889,13 @@ def _svd(spark, sf, k=2):
 def _rows(spark, sf):
     from ratewise.operators.matrix import rows_by_item
 
-    return rows_by_item(V.ratings(spark, sf), max_chunk=MAX_CHUNK)
+    return rows_by_item(V.ratings(spark, sf))
+
+
+def _blocks(spark, sf):
+    from ratewise.operators.matrix import row_blocks
+
+    return row_blocks(_rows(spark, sf), "business_id", "user_id", "stars", BLOCK)
 
 
 @register("m21_densify_entries", with_views(
@@ -766,58 +915,74 @@ SELECT business_id, (SELECT count(*) FROM mcols) AS row_length, count(*) AS n_ra
        (SELECT count(*) FROM mcols) - count(*) AS n_zero
 FROM entries GROUP BY business_id""", MATRIX))
 def f7_fill_missing_zero(spark, sf):
-    e = _entries(spark, sf)
-    n_cols = e.select("user_id").distinct().agg(F.count(F.lit(1))).scalar()
+    from ratewise.operators.matrix import matrix_size
+    from ratewise.session import materialise
+
+    e = materialise(_entries(spark, sf), "entries")
+    n_cols = matrix_size(e).select("n_cols").scalar()
     return e.groupBy("business_id").agg(F.count(F.lit(1)).alias("n_rated")).select(
         "business_id", n_cols.alias("row_length"), "n_rated", (n_cols - F.col("n_rated")).alias("n_zero"))
 
 
-@register("a10_rows_by_item", with_views("""
-SELECT business_id, chunk, count(*) AS n_pairs,
-       string_agg(user_id || ':' || CAST(stars AS VARCHAR), ',' ORDER BY user_id DESC, stars DESC) AS pairs
-FROM chunked GROUP BY business_id, chunk""", CHUNKS))
+@register("a10_rows_by_item", with_views("SELECT business_id, position, user_id, stars FROM lined", POSITIONS))
 def a10_rows_by_item(spark, sf):
-    r = _rows(spark, sf)
-    text = F.array_join(F.transform("pairs", lambda x: F.concat(x["user_id"], F.lit(":"), x["stars"].cast("string"))),
-                        ",")
-    return r.select("business_id", "chunk", F.size("pairs").cast("long").alias("n_pairs"), text.alias("pairs"))
+    return _rows(spark, sf)
 
 
 @register("t3_sort_row", with_views("""
-SELECT business_id, chunk, CAST(row_number() OVER (PARTITION BY business_id, chunk ORDER BY user_id DESC, stars DESC) - 1 AS INTEGER) AS pos,
-       user_id, stars FROM chunked""", CHUNKS))
+SELECT business_id, block, count(*) AS n_pairs,
+       string_agg(user_id || ':' || CAST(stars AS VARCHAR), ',' ORDER BY position) AS pairs
+FROM blocked GROUP BY business_id, block""", POSITIONS))
 def t3_sort_row(spark, sf):
-    """T3 + F5: the sorted row list exploded back to (position, user, rating)."""
-    r = _rows(spark, sf)
-    return r.select("business_id", "chunk", F.posexplode("pairs").alias("pos", "pair")).select(
-        "business_id", "chunk", "pos", "pair.user_id", "pair.stars")
+    """The sorted row lists as arrays of at most BLOCK pairs."""
+    text = F.array_join(F.transform("pairs", lambda x: F.concat(x["user_id"], F.lit(":"), x["stars"].cast("string"))), ",")
+    return _blocks(spark, sf).select("business_id", "block", F.size("pairs").cast("long").alias("n_pairs"), text.alias("pairs"))
+
+
+@register("f5_explode", with_views("SELECT business_id, block, position % 1000 AS pos, user_id, stars FROM blocked", POSITIONS))
+def f5_explode(spark, sf):
+    """the arrays exploded back to one row per pair."""
+    r = _blocks(spark, sf).select("business_id", "block", F.posexplode("pairs").alias("pos", "pair"))
+    return r.select("business_id", "block", F.col("pos").cast("long").alias("pos"), "pair.user_id", "pair.stars")
 
 
 @register("f6_row_values", with_views("""
-SELECT business_id, chunk, string_agg(CAST(stars AS VARCHAR), ',' ORDER BY user_id DESC, stars DESC) AS row_values
-FROM chunked GROUP BY business_id, chunk""", CHUNKS))
+SELECT business_id, block, string_agg(CAST(stars AS VARCHAR), ',' ORDER BY position) AS row_values
+FROM blocked GROUP BY business_id, block""", POSITIONS))
 def f6_row_values(spark, sf):
     from ratewise.functions.columns import pair_values
 
-    r = _rows(spark, sf)
     vals = F.array_join(F.transform(pair_values("pairs", "stars"), lambda x: x.cast("string")), ",")
-    return r.select("business_id", "chunk", vals.alias("row_values"))
+    return _blocks(spark, sf).select("business_id", "block", vals.alias("row_values"))
 
 
-@register("f11_pairs_to_map", with_views("""
-SELECT business_id, count(*) AS n_keys, round(sum(value), 6) AS value_sum FROM entries GROUP BY business_id""", MATRIX))
+@register("f11_pairs_to_map", with_views("SELECT business_id, user_id, value AS rating FROM entries", MATRIX))
 def f11_pairs_to_map(spark, sf):
-    """Per-business user -> rating maps, built per chunk (a hot business is split
-    over user-index ranges, as in ``rows_by_item``), then summarised per business."""
+    """User -> rating maps of every business, per block of its row list, read back key by key."""
     from ratewise.functions.columns import pairs_to_map
-    from ratewise.operators.matrix import rows_by_item
+    from ratewise.operators.matrix import row_blocks, rows_by_item
 
     e = _entries(spark, sf).select("business_id", "user_id", F.col("value").alias("rating"))
-    chunks = rows_by_item(e, "business_id", "user_id", "rating", max_chunk=MAX_CHUNK)
-    m = chunks.select("business_id", pairs_to_map("pairs").alias("m"))
-    per_chunk = m.select("business_id", F.size("m").cast("long").alias("n"),
-                         F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x).alias("s"))
-    return per_chunk.groupBy("business_id").agg(F.sum("n").alias("n_keys"), round6(F.sum("s")).alias("value_sum"))
+    blocks = row_blocks(rows_by_item(e, "business_id", "user_id", "rating"), "business_id", "user_id", "rating", BLOCK)
+    m = blocks.select("business_id", pairs_to_map("pairs").alias("m"))
+    return m.select("business_id", F.explode("m").alias("user_id", "rating"))
+
+
+DIGITS = [str(d) for d in range(10)]
+
+
+@register("a11_pivot_ratings", with_views(
+    "SELECT business_id, " + ", ".join(f"coalesce(max(stars) FILTER (WHERE right(user_id, 1) = '{d}'), 0) AS \"{d}\"" for d in DIGITS)
+    + " FROM ratings GROUP BY business_id"))
+def a11_pivot_ratings(spark, sf):
+    """The highest rating of every business by group of users (the last digit of their id)."""
+    from ratewise.operators.matrix import pivot_ratings
+
+    r = V.ratings(spark, sf).withColumn("user_group", F.right("user_id", F.lit(1)))
+    return pivot_ratings(r, "business_id", "user_group", DIGITS)
+
+
+STAR_LEVELS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
 
 
 @register("a11_pivot_star_levels", with_views(
@@ -835,40 +1000,152 @@ e2 AS (SELECT (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1,
               (a + c) / 2 - sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l2, a + c AS t FROM s2)"""
 
 
-def _pca2(spark, sf):
-    from ratewise.operators.matrix import assemble, pca
+def _lineitem_pair(spark, sf):
+    from ratewise.operators.matrix import assemble
+
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double"))
+    return assemble(li, ["l_quantity", "l_linenumber"])
+
+
+@register("m26_pca_two_columns", with_views("""
+SELECT 1 AS component, round(l1 / t, 6) AS share FROM e2 UNION ALL SELECT 2, round(l2 / t, 6) FROM e2""", PCA2))
+def m26_pca_two_columns(spark, sf):
+    from ratewise.operators.matrix import pca
+
+    model = pca(_lineitem_pair(spark, sf), 2)
+    return _r(spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(model.explainedVariance)], "component int, share double"), "share")
 
-    li = V.table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double"),
-                                                F.col("l_linenumber").cast("double"))
-    model = pca(assemble(li, ["l_quantity", "l_linenumber"]), 2)
-    shares = [float(x) for x in model.explainedVariance]
-    df = spark.createDataFrame([(i + 1, s) for i, s in enumerate(shares)], "component int, share double")
-    from pyspark.sql import Window
 
-    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("cumulative", F.sum("share").over(w))
+@register("m27_project_two_columns", with_views("""
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       round(pow(l_quantity * b + l_linenumber * (l1 - a), 2) / (b * b + (l1 - a) * (l1 - a)), 4) AS pc1_squared
+FROM lineitem, e2, s2""", PCA2))
+def m27_project_two_columns(spark, sf):
+    """First principal coordinate, squared (its sign is free)."""
+    from ratewise.operators.matrix import pca, pca_project
 
+    v = _lineitem_pair(spark, sf)
+    p = pca_project(pca(v, 2), v)
+    return p.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"),
+                    F.round(F.pow(F.col("projection")[0], 2), 4).alias("pc1_squared"))
 
-@register("m24_explained_variance", with_views("""
-SELECT 1 AS component, round(l1 / t, 6) AS share, round(l1 / t, 6) AS cumulative FROM e2
-UNION ALL SELECT 2, round(l2 / t, 6), round((l1 + l2) / t, 6) FROM e2""", PCA2))
+
+# The predicted grid with every residual 0 is user mean + business mean - mu: two factors a
+# side, so its singular values and vectors have a closed form.
+GRID2 = """ga AS (SELECT count(*) AS n, sum(business_mean - mu) AS s, sum(pow(business_mean - mu, 2)) AS q FROM bm CROSS JOIN g),
+gb AS (SELECT sum(user_mean * user_mean) AS q, sum(user_mean) AS s, count(*) AS n FROM um),
+gt AS (SELECT ga.n * gb.q + 2 * ga.s * gb.s + ga.q * gb.n AS t,
+              (ga.n * ga.q - ga.s * ga.s) * (gb.n * gb.q - gb.s * gb.s) AS d, ga.n AS n_items FROM ga CROSS JOIN gb),
+gv AS (SELECT 1 AS component, t / 2 + sqrt(t * t / 4 - d) AS l, t, n_items FROM gt
+       UNION ALL SELECT 2, d / (t / 2 + sqrt(t * t / 4 - d)), t, n_items FROM gt),
+shares AS (SELECT component, l, l / t AS share, sum(l / t) OVER (ORDER BY component) AS cumulative, n_items FROM gv),
+kept AS (SELECT min(component) AS k FROM shares WHERE cumulative > 0.95)"""
+
+
+def _bias_grid(spark, sf):
+    """(item rows, user rows, number of items) of the predicted grid without residuals."""
+    _, train, _ = _split(spark, sf)
+    bias = B.fit_bias(train)
+    items = bias.items.select("business_id", F.array(F.lit(1.0), F.col("business_mean") - bias.mu).alias("f"))
+    users = bias.users.select("user_id", F.array(F.col("user_mean"), F.lit(1.0)).alias("f"))
+    return items, users
+
+
+def _als_grid(spark, sf):
+    """(item rows, user rows) of the predicted grid: factors and bias terms."""
+    res = _als(spark, sf)
+    items = res.model.itemFactors.join(res.items, F.col("id") == F.col("business_ix")).select(
+        "business_id", F.concat(F.col("features"), F.array(F.lit(1.0), F.col("business_mean") - res.bias.mu)).alias("f"))
+    users = res.model.userFactors.join(res.users, F.col("id") == F.col("user_ix")).select(
+        "user_id", F.concat(F.col("features"), F.array(F.col("user_mean"), F.lit(1.0))).alias("f"))
+    return items, users, res.config.rank + 2
+
+
+def _grid_shares(spark, sf):
+    from ratewise.operators.matrix import explained_variance, grid_svd
+
+    items, users = _bias_grid(spark, sf)
+    g = grid_svd(items, users, 2)
+    return explained_variance(spark, g.s, items.count(), total=g.total), g, items, users
+
+
+def _kept(spark, sf):
+    from ratewise.operators.matrix import choose_k
+
+    shares, g, items, users = _grid_shares(spark, sf)
+    return choose_k(shares, 0.95).first()["k"], g, items, users  # one number
+
+
+@register("m24_explained_variance", bias_sql("""
+SELECT component, round(sqrt(l), 4) AS singular_value, round(share, 6) AS share, round(cumulative, 6) AS cumulative
+FROM shares""", GRID2))
 def m24_explained_variance(spark, sf):
-    return _r(_pca2(spark, sf), "share", "cumulative")
+    shares = _grid_shares(spark, sf)[0]
+    return _r(shares.select("component", F.round("singular_value", 4).alias("singular_value"), "share", "cumulative"), "share", "cumulative")
 
 
-@register("a17_cumulative_share", with_views("""
-SELECT 1 AS component, round(l1 / t, 6) AS cumulative FROM e2
-UNION ALL SELECT 2, round((l1 + l2) / t, 6) FROM e2""", PCA2))
+@register("a17_cumulative_share", bias_sql("SELECT component, round(cumulative, 6) AS cumulative FROM shares", GRID2))
 def a17_cumulative_share(spark, sf):
-    return _r(_pca2(spark, sf).select("component", "cumulative"), "cumulative")
+    return _r(_grid_shares(spark, sf)[0].select("component", "cumulative"), "cumulative")
+
 
+@register("t5_sorted_eigenvalues", bias_sql(
+    "SELECT component, round(l / (n_items - 1), 4) AS eigenvalue FROM shares ORDER BY eigenvalue DESC", GRID2))
+def t5_sorted_eigenvalues(spark, sf):
+    e = _grid_shares(spark, sf)[0].select("component", F.round("eigenvalue", 4).alias("eigenvalue"))
+    return e.orderBy(F.desc("eigenvalue"))
 
-@register("m24b_choose_k", with_views(
-    "SELECT CASE WHEN l1 / t > 0.95 THEN 1 ELSE 2 END AS k FROM e2", PCA2))
+
+@register("m24b_choose_k", bias_sql("SELECT k FROM kept", GRID2))
 def m24b_choose_k(spark, sf):
     from ratewise.operators.matrix import choose_k
 
-    return choose_k(_pca2(spark, sf), 0.95)
+    return choose_k(_grid_shares(spark, sf)[0], 0.95)
+
+
+@register("m25_component_scores", bias_sql("""
+SELECT business_id, component,
+       round(l * pow(ga.s * gb.q + ga.q * gb.s + (business_mean - mu) * (l - gb.q * ga.n - gb.s * ga.s), 2)
+             / (x1 * x1 * ga.n + 2 * x1 * x2 * ga.s + x2 * x2 * ga.q), 4) AS score_squared
+FROM (SELECT shares.*, gb.q * ga.s + gb.s * ga.q AS x1, l - gb.q * ga.n - gb.s * ga.s AS x2 FROM shares CROSS JOIN ga CROSS JOIN gb) e
+CROSS JOIN ga CROSS JOIN gb CROSS JOIN g CROSS JOIN bm CROSS JOIN kept WHERE component <= k""", GRID2))
+def m25_component_scores(spark, sf):
+    """Component scores of the predicted grid's rows, K from the 0.95 rule (squared: the sign is free)."""
+    from ratewise.operators.matrix import grid_scores
+
+    k, g, items, _ = _kept(spark, sf)
+    sc = grid_scores(items, "business_id", g, k)
+    return sc.select("business_id", F.posexplode(F.array(*[F.col(f"pc_{j + 1}") for j in range(k)])).alias("i", "s")).select(
+        "business_id", (F.col("i") + 1).alias("component"), F.round(F.col("s") * F.col("s"), 4).alias("score_squared"))
+
+
+@register("t4_scores_by_row", bias_sql("""
+SELECT business_id, row_number() OVER (ORDER BY business_id) - 1 AS row_ix FROM bm""", GRID2))
+def t4_scores_by_row(spark, sf):
+    """T4: the score rows in row order."""
+    from ratewise.operators.matrix import grid_scores
+
+    k, g, items, _ = _kept(spark, sf)
+    sc = S.dense_index(grid_scores(items, "business_id", g, k), "business_id", "row_ix", carry=["pc_1"])
+    return sc.where(F.col("pc_1").isNotNull()).select("business_id", "row_ix").orderBy("row_ix")
+
+
+@register("m29_project_observed", bias_sql("""
+SELECT e.business_id, component,
+       round(pow(sum(e.value * (um.user_mean * y1 + y2)), 2) / any_value(y1 * y1 * gb.q + 2 * y1 * y2 * gb.s + y2 * y2 * gb.n), 4) AS projection_squared
+FROM (SELECT business_id, user_id, max(stars) AS value FROM train GROUP BY ALL) e JOIN um USING (user_id)
+CROSS JOIN (SELECT shares.*, ga.n * gb.s + ga.s * gb.n AS y1, l - ga.n * gb.q - ga.s * gb.s AS y2 FROM shares CROSS JOIN ga CROSS JOIN gb) y
+CROSS JOIN gb CROSS JOIN kept WHERE component <= k GROUP BY e.business_id, component""", GRID2))
+def m29_project_observed(spark, sf):
+    """Observed rows projected on the right singular vectors of the predicted grid."""
+    from ratewise.operators.matrix import grid_right, project_rows
+
+    k, g, _, users = _kept(spark, sf)
+    _, train, _ = _split(spark, sf)
+    obs = train.groupBy("business_id", "user_id").agg(F.max("stars").alias("value"))
+    p = project_rows(obs, grid_right(users, "user_id", g, k), "business_id", "user_id", k)
+    return p.select("business_id", F.posexplode(F.array(*[F.col(f"pc_{j + 1}") for j in range(k)])).alias("i", "s")).select(
+        "business_id", (F.col("i") + 1).alias("component"), F.round(F.col("s") * F.col("s"), 4).alias("projection_squared"))
 
 
 @register("m28_standardise", with_views("""
@@ -885,68 +1162,66 @@ def m28_standardise(spark, sf):
               "z_l_quantity", "z_l_extendedprice")
 
 
-@register("m22_coordinate_matrix")
+@register("m22_coordinate_matrix", with_views("""
+SELECT max(row_ix) + 1 AS n_rows, max(col_ix) + 1 AS n_cols, count(*) AS n_entries FROM entries""", MATRIX))
 def m22_coordinate_matrix(spark, sf):
-    from ratewise.operators.matrix import to_coordinate_matrix
+    from ratewise.operators.matrix import matrix_size
 
-    e, _ = _svd(spark, sf)
-    cm = to_coordinate_matrix(e)
-    return spark.createDataFrame([(int(cm.numRows()), int(cm.numCols()))], "n_rows long, n_cols long")
+    return matrix_size(_entries(spark, sf))
 
 
 @register("m23_svd_spectrum")
 def m23_svd_spectrum(spark, sf):
-    from ratewise.operators.matrix import explained_variance
+    """Spectrum of the full predicted user x business grid, from the factors' Gram matrices."""
+    from ratewise.operators.matrix import explained_variance, grid_svd
 
-    _, svd = _svd(spark, sf)
-    return explained_variance(spark, svd.s, svd.n_rows, total=svd.frobenius2)
+    items, users, width = _als_grid(spark, sf)
+    g = grid_svd(items, users, width)
+    return explained_variance(spark, g.s, items.count(), total=g.total)
 
 
 @register("m24_topk_relative_share")
 def m24_topk_relative_share(spark, sf):
     """The original report's figure: shares relative to the k kept values (last is 1.0)."""
-    from ratewise.operators.matrix import explained_variance
+    from ratewise.operators.matrix import explained_variance, grid_svd
 
-    _, svd = _svd(spark, sf)
-    return explained_variance(spark, svd.s, svd.n_rows, total=None)
+    items, users, width = _als_grid(spark, sf)
+    return explained_variance(spark, grid_svd(items, users, width).s[:2], items.count(), total=None)
 
 
-@register("m25_component_scores")
-def m25_component_scores(spark, sf):
-    from ratewise.operators.matrix import scores
+@register("m23_observed_svd")
+def m23_observed_svd(spark, sf):
+    """Truncated SVD of the observed, zero-filled matrix (an extra beside the predicted grid)."""
+    from ratewise.operators.matrix import explained_variance
 
     _, svd = _svd(spark, sf)
-    return scores(spark, svd)
-
-
-@register("m29_project_observed")
-def m29_project_observed(spark, sf):
-    from ratewise.operators.matrix import project
-
-    e, svd = _svd(spark, sf)
-    return project(e, svd.v, len(svd.s))
+    return explained_variance(spark, svd.s, svd.n_rows, total=svd.frobenius2)
 
 
 @register("m30_cluster_rows")
 def m30_cluster_rows(spark, sf):
-    """Businesses clustered by their rating rows, in the reduced (SVD score) space."""
+    """Businesses clustered by their rows of the predicted grid, in component scores: the
+    scores keep all distances between rows, so no row is ever formed."""
     from ratewise.operators.cluster import assemble as assemble_xy, assign, cluster_sizes, fit_kmeans
-    from ratewise.operators.matrix import scores
+    from ratewise.operators.matrix import grid_scores, grid_svd
 
-    _, svd = _svd(spark, sf)
-    sc = assemble_xy(scores(spark, svd), ["pc_1", "pc_2"])
+    items, users, width = _als_grid(spark, sf)
+    g = grid_svd(items, users, width)
+    k = len(g.s)
+    sc = assemble_xy(grid_scores(items, "business_id", g, k), [f"pc_{j + 1}" for j in range(k)])
     cl = fit_kmeans(sc, 4, seeds=(1, 2, 3))
     return cluster_sizes(assign(cl, sc))
 
 
-@register("f10_array_to_vector")
+@register("f10_array_to_vector", "SELECT vec_id, len(embedding) AS dim, embedding[1] AS first, embedding[len(embedding)] AS last FROM embeddings")
 def f10_array_to_vector(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     from ratewise.operators.matrix import vectors
 
     v = vectors(V.table(spark, sf, "embeddings"), "embedding")
-    return v.select("vec_id", F.size(vector_to_array("features")).alias("dim"))
+    a = vector_to_array("features", "float32")
+    return v.select("vec_id", F.size(a).cast("long").alias("dim"), a[0].alias("first"), F.element_at(a, -1).alias("last"))
 
 
 @register("m26_pca_embeddings")
@@ -969,19 +1244,8 @@ def m27_pca_project(spark, sf):
 
 @register("m20_grid_spectrum")
 def m20_grid_spectrum(spark, sf):
-    """Spectrum of the full predicted user x business grid from factor Gram matrices."""
-    from ratewise.operators.matrix import explained_variance, grid_spectrum
-
-    res = _als(spark, sf)
-    rank = res.config.rank
-    mu = res.bias.mu
-    items = res.model.itemFactors.join(res.items, F.col("id") == F.col("business_ix")).select(
-        F.concat(F.col("features"), F.array(F.lit(1.0), (F.col("business_mean") - mu))).alias("f"))
-    users = res.model.userFactors.join(res.users, F.col("id") == F.col("user_ix")).select(
-        F.concat(F.col("features"), F.array(F.col("user_mean"), F.lit(1.0))).alias("f"))
-    s, total = grid_spectrum(items, users, rank + 2)
-    n_items = res.items.count()
-    return explained_variance(spark, s[:5], n_items, total=total)
+    """The five leading values of the predicted grid."""
+    return m23_svd_spectrum(spark, sf).where("component <= 5")
 
 
 # ---------------------------------------------------------------- file sources and sinks (write, read back)
@@ -1018,6 +1282,38 @@ def s2_business_json_roundtrip(spark, sf):
                     round6("longitude").alias("longitude"))
 
 
+@register("s1_malformed_lines", with_views("""
+SELECT count(*) FILTER (WHERE stars > 1) AS n_read, count(*) FILTER (WHERE stars = 1) AS n_malformed FROM ratings"""))
+def s1_malformed_lines(spark, sf):
+    """Records with one star are written cut short; they are counted, not turned into nulls."""
+    from ratewise.sources.io import REVIEW, load_report
+
+    line = F.to_json(F.struct("review_id", "user_id", "business_id", "stars"))
+    cut = F.when(F.col("stars") == 1, F.substring(line, 1, 25)).otherwise(line)
+    path = _out(spark, "reviews-cut")
+    _reviews(spark, sf).select(cut.alias("value")).write.text(path)
+    return load_report(spark, path, REVIEW)
+
+
+@register("s2_all_attributes", with_views("""
+SELECT business_id, (p_size % 2 = 0) AS bike, p_size % 4 + 1 AS price, (p_size % 3 = 0) AS casual,
+       CASE WHEN p_size % 5 = 0 THEN 'free' ELSE 'no' END AS wifi, (p_size % 7 = 0) AS garage
+FROM business JOIN part ON business_id = concat('b', CAST(p_partkey AS STRING))"""))
+def s2_all_attributes(spark, sf):
+    """Attributes of any name and depth survive the JSON round trip."""
+    from ratewise.sources.io import attribute, read_business, write_json
+
+    size = V.table(spark, sf, "part").select(F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("pid"), "p_size")
+    b = V.business_nested(spark, sf).join(size, F.col("business_id") == F.col("pid"))
+    more = F.struct("attributes.*", F.when(F.col("p_size") % 5 == 0, "free").otherwise("no").alias("WiFi"),
+                    F.struct((F.col("p_size") % 7 == 0).alias("garage")).alias("BusinessParking"))
+    path = write_json(b.withColumn("attributes", more).drop("pid", "p_size"), _out(spark, "business-attributes"))
+    return read_business(spark, path).select(
+        "business_id", attribute("BikeParking").cast("boolean").alias("bike"),
+        attribute("RestaurantsPriceRange2").cast("int").alias("price"), attribute("Ambience", "casual").cast("boolean").alias("casual"),
+        attribute("WiFi").alias("wifi"), attribute("BusinessParking", "garage").cast("boolean").alias("garage"))
+
+
 @register("s6_nested_csv_roundtrip", with_views("""
 SELECT business_id, name, city, '["' || category || '","' || p_brand || '"]' AS categories
 FROM business JOIN part ON business_id = concat('b', CAST(p_partkey AS STRING))"""))
@@ -1090,9 +1386,6 @@ def _alias(key: str, target: str, doc: str):
 _alias("s5_json_sink", "s1_review_json_roundtrip", "S5: JSON-lines sink, read back.")
 _alias("s10_read_centroids", "s11_centroid_roundtrip", "S10: centroid table parsed from CSV.")
 _alias("m17_centroids", "m14_kmeans_centres", "M17: cluster centres named A, B, ... in canonical order.")
-_alias("f5_explode", "t3_sort_row", "F5: one explode of the (sorted) pair list into rows.")
-_alias("t4_scores_by_row", "m25_component_scores", "T4: component scores ordered by row index.")
-_alias("t5_sorted_eigenvalues", "m23_svd_spectrum", "T5: eigenvalues in descending order.")
 _alias("v2_conditional_rating", "p9_fallback_rating", "V2: the conditional-rating UDF as a built-in CASE chain.")
 _alias("v3_column_builders", "m6_final_rating", "V3: Python functions returning Columns (stay in Catalyst).")
 _alias("v4_dataframe_expressions", "a10_rows_by_item",
@@ -1126,14 +1419,18 @@ def s7_single_file(spark, sf):
     return _r(back, "longitude", "latitude")
 
 
-@register("p11_feature_columns")
+@register("p11_feature_columns", with_views(
+    "SELECT business_id, round(longitude, 6) AS x, round(latitude, 6) AS y, 'longitude,latitude' AS names FROM city_biz", CITY))
 def p11_feature_columns(spark, sf):
     """Numeric columns of the schema (minus the plant key) as the feature list."""
     from ratewise.operators.cluster import assemble
 
     b = P.filter_city(V.business(spark, sf), CITY_NAME, CITY_EXCLUDE)
     cols = P.feature_columns(b, skip=["plant"])
-    return assemble(b, cols).select("business_id", "features")
+    from pyspark.ml.functions import vector_to_array
+
+    v = vector_to_array("features")
+    return _r(assemble(b, cols).select("business_id", v[0].alias("x"), v[1].alias("y"), F.lit(",".join(cols)).alias("names")), "x", "y")
 
 
 @register("a13_user_range", with_views(
@@ -1198,10 +1495,12 @@ def m9d_raw_als_rmse(spark, sf):
 def v1_densify_sql_view(spark, sf):
     """V1: the row-merge function exposed to SQL as a temp view of sparse entries
     (built-ins only; missing cells are implicit zeros)."""
-    _entries(spark, sf).createOrReplaceTempView("rating_entries")
+    from ratewise.session import materialise
+
+    materialise(_entries(spark, sf), "entries").createOrReplaceTempView("rating_entries")
     return spark.sql("""
         SELECT business_id,
-               (SELECT count(DISTINCT user_id) FROM rating_entries) AS row_length,
+               (SELECT max(col_ix) + 1 FROM rating_entries) AS row_length,
                count(*) AS n_rated,
-               (SELECT count(DISTINCT user_id) FROM rating_entries) - count(*) AS n_zero
+               (SELECT max(col_ix) + 1 FROM rating_entries) - count(*) AS n_zero
         FROM rating_entries GROUP BY business_id""")

@@ -20,19 +20,20 @@ from ratewise.functions.columns import clean_prediction, fallback_rating, final_
 from ratewise.operators import evaluate as E
 from ratewise.operators.bias import Bias, fit_bias
 from ratewise.operators.recommend import fit_als, predict_als
-from ratewise.operators.split import dense_index, flag_split
-from ratewise.session import cut_lineage
+from ratewise.operators.split import dense_index, flag_split, join_key
+from ratewise.session import materialise
 from ratewise.sources import views as V
 
 
 @dataclass
 class RecommenderConfig:
-    rank: int = 10
+    # The original scripts' settings.
+    rank: int = 70
     max_iter: int = 5
-    reg: float = 0.1
+    reg: float = 0.01
     seed: int = 1
     min_business: int = 0
-    min_user: int = 25
+    min_user: int = 10
     star_threshold: float = 3.0
     cold: str = "nan"
 
@@ -60,38 +61,51 @@ def entity_tables(bias: Bias) -> tuple[DataFrame, DataFrame]:
     return users, items
 
 
-def run_recommender(train: DataFrame, test: DataFrame, cfg: RecommenderConfig | None = None) -> RecommenderResult:
-    cfg = cfg or RecommenderConfig()
+@dataclass
+class Prepared:
+    """What every fit over one split shares: bias model, index and joined rows."""
+
+    bias: Bias
+    users: DataFrame
+    items: DataFrame
+    train: DataFrame
+    test: DataFrame
+
+
+def with_entities(rows: DataFrame, bias: Bias, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows with means, counts and indices; unseen entities get mu, count 0 and index -1."""
+    j = join_key(join_key(rows, users, "user_id", "left"), items, "business_id", "left")
+    return j.select(
+        *rows.columns,
+        F.coalesce("user_mean", bias.mu).alias("user_mean"),
+        F.coalesce("business_mean", bias.mu).alias("business_mean"),
+        F.coalesce("user_count", F.lit(0).cast("long")).alias("user_count"),
+        F.coalesce("business_count", F.lit(0).cast("long")).alias("business_count"),
+        # ALS takes whole numbers in the int range only.
+        F.coalesce("user_ix", F.lit(-1)).cast("int").alias("user_ix"),
+        F.coalesce("business_ix", F.lit(-1)).cast("int").alias("business_ix"),
+    )
+
+
+def prepare(train: DataFrame, test: DataFrame) -> Prepared:
     bias = fit_bias(train)
     users, items = entity_tables(bias)
-    mu = bias.mu
-
-    # Training rows: inner joins (every training entity has a mean and an index).
-    tr = (
-        train.select("user_id", "business_id", "stars")
-        .join(users.select("user_id", "user_mean", "user_ix"), "user_id")
-        .join(items.select("business_id", "business_mean", "business_ix"), "business_id")
-        .withColumn("residual", residual("stars", "user_mean", "business_mean", mu))
-    )
-    model = fit_als(tr, cfg.rank, cfg.max_iter, cfg.reg, cfg.seed, cold=cfg.cold)
-
-    # Test rows: left joins; unseen entities get mu, count 0 and index -1 (NaN prediction).
-    te = (
-        test.select("review_id", "user_id", "business_id", "stars")
-        .join(users, "user_id", "left")
-        .join(items, "business_id", "left")
-        .select(
-            "review_id", "user_id", "business_id", "stars",
-            F.coalesce("user_mean", mu).alias("user_mean"),
-            F.coalesce("business_mean", mu).alias("business_mean"),
-            F.coalesce("user_count", F.lit(0).cast("long")).alias("user_count"),
-            F.coalesce("business_count", F.lit(0).cast("long")).alias("business_count"),
-            F.coalesce("user_ix", F.lit(-1)).alias("user_ix"),
-            F.coalesce("business_ix", F.lit(-1)).alias("business_ix"),
-        )
-    )
-    pred = predict_als(model, te, cfg.cold)
-    scored = pred.select(
+    # Every training entity has a mean and an index.
+    tr = with_entities(train.select("user_id", "business_id", "stars"), bias, users, items).withColumn(
+        "residual", residual("stars", "user_mean", "business_mean", bias.mu))
+    te = with_entities(test.select("review_id", "user_id", "business_id", "stars"), bias, users, items)
+    return Prepared(bias, users, items, materialise(tr.select("user_ix", "business_ix", "residual"), "train-rows"),
+                    materialise(te, "test-rows"))
+
+
+def run_recommender(train: DataFrame, test: DataFrame, cfg: RecommenderConfig | None = None) -> RecommenderResult:
+    return fit_and_score(prepare(train, test), cfg or RecommenderConfig())
+
+
+def fit_and_score(ready: Prepared, cfg: RecommenderConfig) -> RecommenderResult:
+    mu = ready.bias.mu
+    model = fit_als(ready.train, cfg.rank, cfg.max_iter, cfg.reg, cfg.seed, cold=cfg.cold)
+    scored = predict_als(model, ready.test, cfg.cold).select(
         "review_id", "user_id", "business_id", "stars", "user_mean", "business_mean", "user_count",
         "business_count",
         (~F.isnan("prediction")).alias("has_prediction"),
@@ -103,7 +117,17 @@ def run_recommender(train: DataFrame, test: DataFrame, cfg: RecommenderConfig |
         fallback_rating("final_rating", "user_mean", "business_mean", mu, "business_count", "user_count",
                         cfg.min_business, cfg.min_user),
     )
-    return RecommenderResult(cut_lineage(scored), bias, model, cfg, users, items, te)
+    return RecommenderResult(materialise(scored, "scored"), ready.bias, model, cfg, ready.users, ready.items, ready.test)
+
+
+def predict_pairs(res: RecommenderResult, pairs: DataFrame) -> DataFrame:
+    """M20 for a given pair table: its columns plus ``rating``, the residual prediction with
+    the bias added back; null where the user or the business was not trained.  Only the
+    given pairs are scored: equi-joins with the factor tables, no grid."""
+    rows = with_entities(pairs, res.bias, res.users, res.items)
+    got = predict_als(res.model, rows, "nan")
+    rating = final_rating("prediction", "user_mean", "business_mean", res.bias.mu)
+    return got.select(*pairs.columns, F.when(~F.isnan("prediction"), rating).alias("rating"))
 
 
 def metrics(res: RecommenderResult) -> DataFrame:
@@ -131,21 +155,23 @@ def metrics(res: RecommenderResult) -> DataFrame:
     ])
 
 
+# The settings that the fixtures state for the stand-in ratings.
+FIXTURE = RecommenderConfig(rank=10, reg=0.1, min_user=25)
+
+
 def flagship_report(spark: SparkSession, sf_dir: str, cfg: RecommenderConfig | None = None) -> DataFrame:
     train, test = flag_split(V.ratings(spark, sf_dir))
-    return metrics(run_recommender(train, test, cfg))
+    return metrics(run_recommender(train, test, cfg or FIXTURE))
 
 
 def sweep(spark: SparkSession, sf_dir: str, grid: list[dict]) -> DataFrame:
-    """One fit per grid point over the same (checkpointed) split;
+    """One fit per grid point over the same split, bias model, index and joined rows;
     returns (rank, reg, max_iter, n, rmse) with ALS + bias over all test rows."""
-    train, test = flag_split(V.ratings(spark, sf_dir))
-    train, test = cut_lineage(train), cut_lineage(test)
+    ready = prepare(*flag_split(V.ratings(spark, sf_dir)))
     out = None
     for point in grid:
         cfg = RecommenderConfig(**point)
-        res = run_recommender(train, test, cfg)
-        row = E.rmse(res.scored, "stars", "final_rating").select(
+        row = E.rmse(fit_and_score(ready, cfg).scored, "stars", "final_rating").select(
             F.lit(cfg.rank).alias("rank"), F.lit(cfg.reg).alias("reg"), F.lit(cfg.max_iter).alias("max_iter"),
             "n", "rmse")
         out = row if out is None else out.unionByName(row)

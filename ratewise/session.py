@@ -8,16 +8,18 @@ chosen when that setting is absent (local tests).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
+from pyspark import SparkConf, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Settings for the 100 TB deployment (applied by the cluster's submit config, not
-# by library code).  Shuffle partitions start high and AQE coalesces them to
+# Settings for the 100 TB deployment, used by ``get_session`` where the submit
+# settings leave them open.  Shuffle partitions start high and AQE coalesces them to
 # ~256 MB; input splits match; AQE splits skewed join partitions and converts
 # joins to broadcast only below a measured size.
 CLUSTER_CONF = {
@@ -37,37 +39,52 @@ CLUSTER_CONF = {
 
 
 def get_session(master: str | None = None, partitions: int = 8, app: str = "ratewise") -> SparkSession:
+    """A session for tests, bench and command line.
+
+    Loopback host, memory and partition settings are for a local master only.  On a
+    cluster the submit settings hold, and what they leave open comes from ``CLUSTER_CONF``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = (
-        builder.config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.bindAddress", "127.0.0.1")
-        .config("spark.driver.memory", "16g")
-    )
+    given = SparkConf()
+    where = master or given.get("spark.master", "local[*]")
+    conf = {"spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    if is_local(where):
+        conf |= {
+            "spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "true",
+            "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true", "spark.driver.host": "127.0.0.1",
+            "spark.driver.bindAddress": "127.0.0.1", "spark.driver.memory": "16g",
+        }
+    else:
+        conf |= {k: v for k, v in CLUSTER_CONF.items() if not given.contains(k)}
+    for k, v in conf.items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (local-cluster has several)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a private one only if unset."""
+    """The shared checkpoint folder.  Only a local master may do without the setting: it
+    gets a private folder, which goes with the process; elsewhere a folder of this
+    machine would be lost on the others, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ratewise-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -115,13 +132,6 @@ def bucketed_table(df: DataFrame, key, buckets: int, name: str) -> str:
     return table
 
 
-def bucketed(df: DataFrame, key, buckets: int, name: str) -> DataFrame:
-    """``df`` stored bucketed by ``key``: joins and aggregations on ``key``
-    against it then shuffle only the other side, so the layout is reused by
-    every later stage instead of re-shuffling this (large) side each time."""
-    return df.sparkSession.table(bucketed_table(df, key, buckets, name))
-
-
 def remove_paths(spark: SparkSession, paths) -> None:
     """Delete intermediate outputs through the Hadoop FileSystem API (works on
     HDFS / object stores as well as local disks)."""

@@ -39,24 +39,49 @@ BUSINESS = T.StructType([
     T.StructField("stars", T.DoubleType()),
     T.StructField("review_count", T.IntegerType()),
     T.StructField("is_open", T.IntegerType()),
-    T.StructField("attributes", T.StructType([
-        T.StructField("BikeParking", T.BooleanType()),
-        T.StructField("RestaurantsPriceRange2", T.IntegerType()),
-        T.StructField("Ambience", T.StructType([T.StructField("casual", T.BooleanType())])),
-    ])),
+    # Every attribute by name; nested ones as their JSON text, so no field is lost.
+    T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
     T.StructField("categories", T.ArrayType(T.StringType())),
     T.StructField("hours", T.MapType(T.StringType(), T.StringType())),
 ])
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_json(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+    """JSON lines with a fixed schema plus ``_corrupt_record``: the text of a line that
+    can't be read as a record, null for all others (absent fields read as null)."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+
+
 def read_reviews(spark: SparkSession, paths, schema: T.StructType = REVIEW) -> DataFrame:
-    """JSON-lines reviews with a fixed schema (absent fields read as null)."""
-    return spark.read.schema(schema).json(paths)
+    """JSON-lines reviews; malformed lines are left out here and listed by ``malformed_lines``."""
+    return read_json(spark, paths, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_business(spark: SparkSession, paths, schema: T.StructType = BUSINESS) -> DataFrame:
-    """Nested JSON businesses with a fixed schema."""
-    return spark.read.schema(schema).json(paths)
+    """Nested JSON businesses; malformed lines as in ``read_reviews``."""
+    return read_json(spark, paths, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def malformed_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+    """The lines that can't be read as records (count them before trusting a load)."""
+    return read_json(spark, paths, schema).where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+
+
+def load_report(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+    """(n_read, n_malformed) of a JSON-lines load, in one pass."""
+    bad = F.col(CORRUPT).isNotNull()
+    return read_json(spark, paths, schema).agg(F.count_if(~bad).alias("n_read"), F.count_if(bad).alias("n_malformed"))
+
+
+def attribute(name: str, *path: str):
+    """One business attribute as text; ``path`` goes into a nested one."""
+    value = F.col("attributes")[name]
+    return F.get_json_object(value, "$." + ".".join(path)) if path else value
 
 
 def from_rows(spark: SparkSession, rows, schema) -> DataFrame:
@@ -87,12 +112,13 @@ def flatten_nested(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, files: int | None = None) -> str:
     """CSV with header; nested columns are written as JSON text (no driver collect)."""
-    _files(flatten_nested(df), files).write.mode("overwrite").option("header", True).csv(path)
+    w = _files(flatten_nested(df), files).write.mode("overwrite").option("header", True)
+    w.option("quoteAll", True).option("escape", '"').csv(path)
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    r = spark.read.option("header", True)
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     return (r.schema(schema) if schema is not None else r).csv(path)
 
 
