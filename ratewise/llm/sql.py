@@ -1,13 +1,94 @@
-"""DuckDB SQL for the queries that SQL can express on whole tables."""
+"""DuckDB SQL for the queries that SQL can express on whole tables.
+
+Not here, and tested against brute force instead: private spans (a trained classifier),
+packing (a tokenizer), mixing (a hash order), language-model scores, the quality and
+language models.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {
-    "op6_exact_dedup": """
+from ratewise.llm import rules
+
+OP6 = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
-FROM documents""",
+FROM documents"""
+
+_STATISTICS = r"""
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+st AS (SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+       FROM w LEFT JOIN cov USING (rid)),
+sb AS (SELECT *, n_words < {least} OR 100 * n_repeat_words > {most} * n_words AS base_failed,
+              10000 * n_symbols // greatest(word_chars, 1) AS symbols, 10000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines,
+              10000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM st)"""
+
+# A sketch is a table of counts by bucket; its quantiles are read from running sums.
+_SKETCH = """
+v AS (SELECT lang, source, rule, val, greatest(length(bin(val)) - 6, 0) AS cut
+      FROM (UNPIVOT (SELECT lang, source, base_failed, symbols, dup_lines, repeats FROM sb) ON symbols, dup_lines, repeats INTO NAME rule VALUE val)
+      WHERE NOT base_failed),
+sk AS (SELECT lang, source, rule, (val >> cut) + cut * 64 AS b, count(*) AS n FROM v GROUP BY ALL)"""
+
+
+def _quantiles(name: str, keys: str) -> str:
+    by = f"{keys}, rule" if keys else "rule"
+    low = "CAST(b - c * 64 AS BIGINT) << c"
+    return f"""
+{name}_m AS (SELECT {by}, b, CAST(greatest(floor((b - 32) / 64), 0) AS BIGINT) AS c, sum(n) AS n FROM sk GROUP BY ALL),
+{name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS up, sum(n) OVER (PARTITION BY {by}) AS total FROM {name}_m),
+{name} AS (SELECT {by}, max(total) AS n, min({low}) FILTER (WHERE up * 100 >= total * 5) AS p05,
+                  min({low}) FILTER (WHERE up * 100 >= total * 50) AS p50 FROM {name}_u GROUP BY {by})"""
+
+
+def _op2() -> str:
+    best = lambda x: f"CASE WHEN o.n >= {rules.SUPPORT} THEN o.{x} WHEN l.n >= {rules.SUPPORT} THEN l.{x} ELSE a.{x} END"
+    slack = "CASE o.rule " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in rules.SLACK.items()) + " END"
+    tests = " AND ".join(f"coalesce({r} <= f_{r}, TRUE)" for r in rules.SLACK)
+    return "WITH " + ",".join([
+        _STATISTICS.replace("{least}", str(rules.LEAST_WORDS)).replace("{most}", str(rules.MOST_REPEATED)), _SKETCH,
+        _quantiles("own", "lang, source"), _quantiles("bylang", "lang"), _quantiles("everything", ""), f"""
+top AS (SELECT o.lang, o.source, o.rule, {best('p50')} + {rules.SPREADS} * greatest({best('p50')} - {best('p05')}, {slack}) AS top
+        FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN everything a ON o.rule = a.rule),
+fence AS (SELECT lang, source, {', '.join(f"max(top) FILTER (WHERE rule = '{r}') AS f_{r}" for r in rules.SLACK)} FROM top GROUP BY lang, source)"""]) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept
+FROM sb LEFT JOIN fence f ON sb.lang IS NOT DISTINCT FROM f.lang AND sb.source IS NOT DISTINCT FROM f.source"""
+
+
+OP3 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '([<\[])(s>|/s>|INST\]|/INST\]|ROLE\]|/ROLE\]|NAME\]|\\)', '\1\\\2', 'g') AS esc FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(esc) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 24 + length(role) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL)
+          JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.x),
+comp AS (SELECT x, min(root) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON comp.x = doc_id"""
+
+ORACLE: dict[str, str] = {
+    "op2_adaptive_rules": _op2(),
+    "op3_chat_round_trip": OP3,
+    "op6_exact_dedup": OP6,
+    "op8_minhash_near_dedup": OP8,
 }
