@@ -37,19 +37,22 @@ def main(argv=None) -> int:
             print(k, "(oracle)" if k in catalog.ORACLE else "")
         return 0
 
-    from ratewise.session import get_session
+    from ratewise.session import clean_up, get_session
 
     if a.query not in catalog.QUERIES:
         print(f"unknown query {a.query!r}; see `python -m ratewise list`", file=sys.stderr)
         return 2
     spark = get_session(a.master, partitions=a.partitions, app=f"ratewise-{a.query}")
-    df = catalog.QUERIES[a.query](spark, a.data_dir)
-    if a.out:
-        df.write.mode("overwrite").parquet(a.out)
-        print(f"wrote {a.out}")
-    else:
-        df.show(a.show, truncate=False)
-    spark.stop()
+    try:
+        df = catalog.QUERIES[a.query](spark, a.data_dir)
+        if a.out:
+            df.write.mode("overwrite").parquet(a.out)
+            print(f"wrote {a.out}")
+        else:
+            df.show(a.show, truncate=False)
+    finally:
+        clean_up(spark)
+        spark.stop()
     return 0
 
 

@@ -183,7 +183,7 @@ def _rename(block: DataFrame, key: str, prefix: str, b: int, new_prefix: str) ->
 
 
 def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: int = 30, seed: int = 7,
-                  salts: int = 16, tolerance: float = 1e-6) -> SVDResult:
+                  salts: int = 16, tolerance: float = 1e-4) -> SVDResult:
     """Top-k singular triplets of the sparse matrix given by ``entries``.
 
     Randomized block Krylov method: Q_0 = orth(A R), Q_i = orth(A orth(A^T Q_{i-1})),
@@ -214,60 +214,62 @@ def truncated_svd(entries: DataFrame, k: int, block: int | None = None, depth: i
                            ["col_ix", "salt"], parts, "svd_by_col")
     t_row = bucketed_table(cols3.withColumn("salt", F.pmod(F.xxhash64("col_ix"), F.lit(salts)).cast("int")),
                            ["row_ix", "salt"], parts, "svd_by_row")
-    by_col, by_row = spark.table(t_col), spark.table(t_row)
     scratch: list[str] = []
-
-    def write(df: DataFrame, name: str) -> DataFrame:
-        """Intermediate block in the shared folder, deleted once U and V are written."""
-        path = shared_path(spark, name)
-        df.write.mode("overwrite").parquet(path)
-        scratch.append(path)
-        return spark.read.parquet(path)
-    v = entries.select("col_ix").distinct().select("col_ix", *[
-        ((F.xxhash64(F.col("col_ix"), F.lit(j), F.lit(seed)) % 2000003).cast("double") / 2000003.0).alias(n)
-        for j, n in enumerate(_names("v", b))
-    ])
-    y = write(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
-    # q = y @ t is recomputed from the written y where used (one numpy pass), not stored.
-    q, b = _orthonormalise(y, "row_ix", "y", b)
-    blocks = [(q, b)]
-    seen, settled = np.zeros(0), False
-    for _ in range(depth):
-        z = write(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b, salts), "svd-z")
-        now = np.sqrt(np.clip(np.linalg.eigvalsh(_gram(z, "v", b))[::-1][:k], 0.0, None))
-        settled = len(seen) == len(now) and np.allclose(seen, now, rtol=tolerance, atol=0.0)
-        if settled:
-            break
-        seen = now
-        w, b = _orthonormalise(z, "col_ix", "v", b)
-        y = write(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
+    try:
+        by_col, by_row = spark.table(t_col), spark.table(t_row)
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            """Intermediate block in the shared folder, deleted once U and V are written."""
+            path = shared_path(spark, name)
+            df.write.mode("overwrite").parquet(path)
+            scratch.append(path)
+            return spark.read.parquet(path)
+        v = entries.select("col_ix").distinct().select("col_ix", *[
+            ((F.xxhash64(F.col("col_ix"), F.lit(j), F.lit(seed)) % 2000003).cast("double") / 2000003.0).alias(n)
+            for j, n in enumerate(_names("v", b))
+        ])
+        y = write(_multiply(by_col, v, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
+        # q = y @ t is recomputed from the written y where used (one numpy pass), not stored.
         q, b = _orthonormalise(y, "row_ix", "y", b)
-        blocks.append((q, b))
-    if not settled:
-        warnings.warn(f"truncated_svd: values still change by more than {tolerance} after {depth} steps", stacklevel=2)
-    # Krylov basis: all blocks side by side (same row set), orthonormalised together.
-    basis = None
-    width = 0
-    for i, (blk, bi) in enumerate(blocks):
-        part = blk.select("row_ix", *[F.col(f"y{j}").alias(f"k{width + j}") for j in range(bi)])
-        basis = part if basis is None else basis.join(part, "row_ix")
-        width += bi
-    basis = write(basis, "svd-basis")
-    kq, width = _orthonormalise(basis, "row_ix", "k", width)
-    kq = write(kq, "svd-kq")
-    # Rayleigh-Ritz: A ~ K (K^T A) = K Z^T with Z = A^T K; SVD of the small factor from Z^T Z.
-    z = write(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width, salts), "svd-zk")
-    lam, w = np.linalg.eigh(_gram(z, "z", width))
-    order = np.argsort(lam)[::-1][: min(k, width)]
-    lam, w = np.clip(lam[order], 0.0, None), w[:, order]
-    s = np.sqrt(lam)
-    inv = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0), 0.0)
-    u = materialise(_combine(kq, "row_ix", "k", w, "u"), "svd-u")
-    vk = materialise(_combine(z, "col_ix", "z", w * inv[None, :], "v"), "svd-v")
-    # U and V are in their own files now; the blocks and bucketed copies go.
-    remove_paths(spark, scratch)
-    drop_table(spark, t_col)
-    drop_table(spark, t_row)
+        blocks = [(q, b)]
+        seen, settled = np.zeros(0), False
+        for _ in range(depth):
+            z = write(_multiply(by_row, q, "row_ix", "col_ix", "y", "v", b, salts), "svd-z")
+            now = np.sqrt(np.clip(np.linalg.eigvalsh(_gram(z, "v", b))[::-1][:k], 0.0, None))
+            settled = len(seen) == len(now) and np.allclose(seen, now, rtol=tolerance, atol=0.0)
+            if settled:
+                break
+            seen = now
+            w, b = _orthonormalise(z, "col_ix", "v", b)
+            y = write(_multiply(by_col, w, "col_ix", "row_ix", "v", "y", b, salts), "svd-y")
+            q, b = _orthonormalise(y, "row_ix", "y", b)
+            blocks.append((q, b))
+        if not settled:
+            warnings.warn(f"truncated_svd: values still change by more than {tolerance} after {depth} steps", stacklevel=2)
+        # Krylov basis: all blocks side by side (same row set), orthonormalised together.
+        basis = None
+        width = 0
+        for i, (blk, bi) in enumerate(blocks):
+            part = blk.select("row_ix", *[F.col(f"y{j}").alias(f"k{width + j}") for j in range(bi)])
+            basis = part if basis is None else basis.join(part, "row_ix")
+            width += bi
+        basis = write(basis, "svd-basis")
+        kq, width = _orthonormalise(basis, "row_ix", "k", width)
+        kq = write(kq, "svd-kq")
+        # Rayleigh-Ritz: A ~ K (K^T A) = K Z^T with Z = A^T K; SVD of the small factor from Z^T Z.
+        z = write(_multiply(by_row, kq, "row_ix", "col_ix", "k", "z", width, salts), "svd-zk")
+        lam, w = np.linalg.eigh(_gram(z, "z", width))
+        order = np.argsort(lam)[::-1][: min(k, width)]
+        lam, w = np.clip(lam[order], 0.0, None), w[:, order]
+        s = np.sqrt(lam)
+        inv = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0), 0.0)
+        u = materialise(_combine(kq, "row_ix", "k", w, "u"), "svd-u")
+        vk = materialise(_combine(z, "col_ix", "z", w * inv[None, :], "v"), "svd-v")
+    finally:
+        # U and V are in their own files; the blocks and bucketed copies go, also after a failure.
+        remove_paths(spark, scratch)
+        drop_table(spark, t_col)
+        drop_table(spark, t_row)
     return SVDResult(u, s, vk, n_rows, n_cols, frob2)
 
 

@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import SparkConf, StorageLevel
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +46,8 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "rate
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # under spark-submit its settings are in the JVM already
+        SparkContext._ensure_initialized()
     given = SparkConf()
     where = master or given.get("spark.master", "local[*]")
     conf = {"spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
@@ -89,23 +91,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for written intermediates."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
-
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared folder); survives executor loss, unlike localCheckpoint.
 
-    The frame is persisted while it is written so the checkpoint job reads the
-    cached blocks instead of recomputing the plan a second time."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+def clean_up(spark: SparkSession) -> None:
+    """Delete every intermediate that this process wrote; call it when results are written,
+    also after a failure (the command line and the bench do)."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    remove_paths(spark, paths)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
