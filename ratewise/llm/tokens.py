@@ -97,6 +97,13 @@ class Encoder:
             if len(r) > LONG_WORD:
                 runs.pop(r, None)
 
+    def encode_each(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of many distinct words, without keeping them."""
+        kept, self.words = self.words, {}
+        self._learn(set(words))
+        found, self.words = self.words, kept
+        return [found[w] for w in words]
+
     def encode(self, words: list[bytes]) -> bytes:
         """Little-endian unsigned 32-bit ids of a text given as its words."""
         missing = set(words).difference(self.words)

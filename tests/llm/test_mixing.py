@@ -71,12 +71,12 @@ def test_mix_returns_documents(frame, sample):
     mixed = mixing.mix(df)
     assert mixed.schema == df.schema
     got = mixed.collect()
-    text_of = {r[0]: r[1] for r in rows}
+    text_of = {(r[0], r[3]): r[1] for r in rows}
     for r in got:
-        assert text_of[r.doc_id].startswith(r.text)
+        assert text_of[r.doc_id, r.source].startswith(r.text)
     report = mixing.mix_report(df).collect()
     assert sum(size(r.text) for r in got) == sum(r.taken for r in report)
-    whole = sum(r.text == text_of[r.doc_id] for r in got)
+    whole = sum(r.text == text_of[r.doc_id, r.source] for r in got)
     assert len(got) - whole <= 2 * len({r[3] for r in rows})
 
 
