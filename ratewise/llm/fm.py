@@ -163,8 +163,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     # The sample has at most ``sample`` narrow rows, so it may be broadcast.
     joined = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text", "n_chars")
     got = joined.mapInArrow(run, kind).toArrow().sort_by("doc_id")
-    cols = [got.column(n).to_pylist() for n in ("at", "x", "quality")]
-    return [(np.array(a), np.array(x), y) for a, x, y in zip(*cols, strict=True)]
+    if not got.num_rows:
+        return []
+    at, x = (got.column(n).combine_chunks() for n in ("at", "x"))
+    ends = np.asarray(at.offsets)
+    at, x = np.asarray(at.values), np.asarray(x.values)
+    return [(at[lo:hi], x[lo:hi], y) for lo, hi, y in zip(ends[:-1], ends[1:], got.column("quality").to_pylist(), strict=True)]
 
 
 def predict(docs: DataFrame, machine: Machine) -> DataFrame:
