@@ -1,7 +1,7 @@
 """Language identification by n-gram filters with a bit per language.
 
 Learning counts, over all training documents, in how many documents of each language an
-n-gram of letters occurs (words padded with a space, n from 1 to 4).  An n-gram belongs
+n-gram of letters occurs (words padded with a space, n from 1 to 3).  An n-gram belongs
 to a language if it occurs in at least ``SUPPORT`` of its documents and its document
 rate there is at least ``RATE`` of its highest rate in any language.  Memberships are
 written into bit-sliced Bloom filters: one table with a word of 64 language bits per
@@ -24,6 +24,7 @@ empty result; only doc_id, text and lang are read, and lang only for learning.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from ratewise.llm.common import col, crc_column, only, settle
 
-NGRAMS = (1, 2, 3, 4)
+NGRAMS = (1, 2, 3)
 SLOTS = 1 << 20
-HASHES = 3
+HASHES = 2
 SUPPORT = 3
 RATE = 0.25
 FOLDS, HELD = 5, 0
@@ -47,15 +48,21 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For every code point, whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def _code_points(text: str) -> np.ndarray:
     """Lower-case code points with every run of non-letters as one space, padded."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = np.unique(cp)
-    letter = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)
-    keep = letter[np.searchsorted(kinds, cp)]
+    keep = np.take(_letters(), cp)
     cp = np.where(keep, cp, np.uint32(32))
-    gap = ~keep
-    cp = cp[~(gap & np.concatenate([[False], gap[:-1]]))]
+    drop = ~keep
+    drop[1:] &= ~keep[:-1]
+    drop[:1] = False
+    cp = cp[~drop]
     return np.concatenate([np.array([32], np.uint32), cp, np.array([32], np.uint32)])
 
 
@@ -88,9 +95,9 @@ def document_keys(text: str) -> np.ndarray:
 
 def _places(keys: np.ndarray) -> list[np.ndarray]:
     """Slots of the keys, one array per hash function."""
-    a = (keys & np.uint64(0x7FFFFFFF)).astype(np.int64)
-    b = ((keys >> np.uint64(31)) | np.uint64(1)).astype(np.int64)
-    return [(a + k * b) % SLOTS for k in range(HASHES)]
+    a = keys.view(np.int64)
+    b = (a >> 31) | 1
+    return [(a + k * b) & (SLOTS - 1) for k in range(HASHES)]
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
@@ -165,28 +172,34 @@ class Model:
         self.langs, self.table = langs, table
         filled = np.array([np.count_nonzero(table[b // 64] >> np.uint64(b % 64) & np.uint64(1)) for b in range(len(langs))])
         self.chance = (filled / SLOTS) ** HASHES  # hits that a filter gives for unknown n-grams
+        # Few languages need few bits a slot, and a small table stays in the cache.
+        self.small = table[0].astype(np.uint8 if len(langs) <= 8 else np.uint16) if len(langs) <= 16 else None
+
+    def _sets(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, n): the sets of languages that hold an n-gram, as rows of words, and how many n-grams have each."""
+        places = _places(keys)
+        slices = [self.small] if self.small is not None else list(self.table)
+        words = [np.bitwise_and.reduce([np.take(s, at) for at in places]) for s in slices]
+        if self.small is not None:
+            n = np.bincount(words[0])
+            own = np.flatnonzero(n)
+            return own.astype(np.uint64)[:, None], n[own]
+        return np.unique(np.stack(words, 1), axis=0, return_counts=True)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
-        hits, total = np.zeros(len(self.langs)), 0
+        hits, total = np.zeros(len(self.langs)), 0.0
+        at = np.arange(len(self.langs))
         for keys in ngram_keys(text):
-            places = _places(keys)
-            words = []
-            for s in range(len(self.table)):
-                w = self.table[s][places[0]]
-                for at in places[1:]:
-                    w = w & self.table[s][at]
-                words.append(w)
-            shared = np.zeros(len(keys), np.int64)
-            for w in words:
-                shared += np.bitwise_count(w)
+            sets, n = self._sets(keys)
+            # One row per set: a bit per language, their number by popcount.
+            shared = np.bitwise_count(sets).sum(1).astype(float)
+            member = (sets[:, at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).astype(float)
             # N-grams of fewer languages say more.
-            weight = 1.0 / np.maximum(shared, 1) ** 2
-            total += float(weight[shared > 0].sum())
-            for b in range(len(self.langs)):
-                on = (words[b // 64] >> np.uint64(b % 64) & np.uint64(1)).astype(bool)
-                hits[b] += weight[on].sum()
+            weight = np.where(shared > 0, n / np.maximum(shared, 1) ** 2, 0.0)
+            total += float(weight.sum())
+            hits += weight @ member
         real = np.maximum(0.0, (hits - self.chance * total) / (1 - np.minimum(self.chance, 0.999)))
         if real.sum() == 0:
             return self.langs[0], 0.0
