@@ -1,51 +1,52 @@
 """The training-data pipeline: quality rules, exact dedup, near dedup, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes
-as Parquet and reads again as the next stage's documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller (as
+``run`` does) writes as Parquet and reads again as the next stage's documents.  When a
+stage begins, the result before it is written, so it first deletes the intermediate
+tables of the stages before it: disk holds those of one stage at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ratewise.llm import exact, mixing, near, packing, rules
-from ratewise.llm.common import documents, settle
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.keep_good(docs)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact.drop_copies(docs)
-
+from ratewise.llm.common import Scratch, documents
+from ratewise.session import remove_paths, shared_path
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.drop_near(docs)
 
+_LEFT = Scratch()
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
 
+def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _LEFT.clear(spark)
+        with _LEFT:
+            return work(docs)
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return stage
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("exact_dedup", exact_dedup),
-    ("minhash_near_dedup", near_dedup),
-    ("mix_sources", mix_sources),
-    ("best_fit_packing", pack),
+    ("quality_rules", _stage(rules.keep_good)),
+    ("exact_dedup", _stage(exact.drop_copies)),
+    ("minhash_near_dedup", _stage(near.drop_near)),
+    ("mix_sources", _stage(mixing.mix)),
+    ("best_fit_packing", _stage(packing.pack)),
 ]
 
-# Tokenizing and sketch-driven choices can't be written in SQL; tests compare with brute force.
+# Tokenizing and hash-ordered mixing can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_paths(spark, [before])
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

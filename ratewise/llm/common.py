@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewise.session import materialise
+from ratewise.session import remove_paths, shared_path
 
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -92,6 +92,35 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.R
     return plain.mapInArrow(run, schema).toDF(*names)
 
 
+class Scratch:
+    """The intermediate tables written while it is open, deleted on request."""
+
+    open_now: list[Scratch] = []
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open_now.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch.open_now.remove(self)
+
+    def clear(self, spark: SparkSession, *keep: DataFrame) -> None:
+        """Delete the tables but those that ``keep`` (frames made by ``settle``) read."""
+        kept = {getattr(df, "_rw_path", None) for df in keep}
+        gone = [p for p in self.paths if p not in kept]
+        remove_paths(spark, gone)
+        self.paths = [p for p in self.paths if p in kept]
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back (row ids and layout are then fixed)."""
-    return materialise(df, f"llm-{name}")
+    path = shared_path(df.sparkSession, f"llm-{name}")
+    for scratch in Scratch.open_now:
+        scratch.paths.append(path)
+    df.write.mode("overwrite").parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back._rw_path = path
+    return back

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewise.llm.common import UID, add_columns, col, only, settle, utf8, with_uid, words
+from ratewise.llm.common import UID, Scratch, add_columns, col, only, settle, utf8, with_uid, words
 
 WIDTH = 5
 PERCENT = 85
@@ -234,6 +234,13 @@ def open_pairs(lists: DataFrame, cls: DataFrame, sets: DataFrame, matches: int =
 
 def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
     """(classes, roots of the linked ones); ``signed`` is written already."""
+    with Scratch() as scratch:
+        cls, roots = _link(docs, signed, percent, matches)
+    scratch.clear(docs.sparkSession, cls, roots)
+    return cls, roots
+
+
+def _link(docs: DataFrame, signed: DataFrame, percent: int, matches: int) -> tuple[DataFrame, DataFrame]:
     cls = settle(classes(only(signed, UID, "doc_id", N, SET, SIG)), "classes")
     posts = settle(prefixes(cls, matches), "prefixes")
     wanted = posts.select("cid").distinct().join(cls.select("cid", "first_id", "set"), "cid")
