@@ -92,6 +92,13 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.R
     return plain.mapInArrow(run, schema).toDF(*names)
 
 
+def one_per_id(df: DataFrame, *names: str) -> DataFrame:
+    """One row for each doc_id, the one of least content hash: a bounded number of ids then
+    is a bounded number of rows.  Combined in the tasks first."""
+    least = F.min(F.struct(F.xxhash64(*[col(n) for n in names]).alias("h"), *[col(n) for n in names])).alias("r")
+    return df.groupBy("doc_id").agg(least).select("doc_id", *[F.col("r")[n].alias(n) for n in names])
+
+
 class Scratch:
     """The intermediate tables written while it is open, deleted on request."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.llm.common import col, crc_column, only, utf8
+from ratewise.llm.common import col, crc_column, one_per_id, only, utf8
 
 WORDS = 1 << 14
 RANK = 8
@@ -162,6 +162,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
 
     # The sample has at most ``sample`` narrow rows, so it may be broadcast.
     joined = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text", "n_chars")
+    joined = one_per_id(joined, "quality", "text", "n_chars")
     got = joined.mapInArrow(run, kind).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return []

@@ -45,3 +45,11 @@ def test_edges(frame, spark):
     assert {r.score for r in none} == {0.5}
     assert fm.rate_quality(frame(rows).limit(0), labels).count() == 0
     assert fm.rate_quality(frame(rows).drop("n_chars"), labels).count() == len(rows)
+
+
+def test_repeated_id_counts_once(frame, spark):
+    """The sample is bounded in rows, however often a doc_id occurs."""
+    ids = [1, 2, 3, 4, 5]
+    rows = [(d, f"text {d} {i % 2}") for d in ids for i in range(200)]
+    labels = spark.createDataFrame([(d, 1, 0) for d in ids], "doc_id long, quality int, toxic int")
+    assert 0 < len(fm.training_rows(frame(rows), labels)) <= len(ids)
