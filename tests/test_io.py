@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from ratewise.operators.prep import reviews_in_city
 from ratewise.sources import io as IO
 from ratewise.sources import views as V

@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_MID, SF_SMALL
+from scales import SF_MID, SF_SMALL
 
 ORACLE = E.oracle_sql()
 # Planted KMeans recovery is specified on sf0.01 (FIXTURES §2); everything else runs on sf0.001.

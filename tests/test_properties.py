@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from scales import SF_SMALL
 from ratewise.functions.columns import first_item, strip_ws
 from ratewise.operators import matrix as M
 from ratewise.operators.cluster import nearest_centroid, read_centroids
