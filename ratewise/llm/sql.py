@@ -86,9 +86,33 @@ comp AS (SELECT x, min(root) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON comp.x = doc_id"""
 
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+o AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM c GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM l GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(max(s.n), 0)::HUGEINT AS n
+      FROM d LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) s USING (lang, source) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 2)::HUGEINT // (g.n + 2 * v.v) AS p
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(max(s.value), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT y.lang, y.source, z.source AS item, sum((y.p - z.p) * (y.p - z.p) // (y.p + z.p)) AS value
+                    FROM x y JOIN x z ON y.lang = z.lang AND y.term = z.term AND y.source <> z.source GROUP BY ALL) s
+         ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY ALL),
+q AS (SELECT lang, term, 1 + 1000000000 * (l.c + 2) // (v.n + 2 * v.v) AS q FROM l JOIN v USING (lang)),
+term AS (SELECT x.lang, x.source, x.term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+         FROM x JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+joined AS (SELECT *, 'pair' AS part FROM pair UNION ALL BY NAME SELECT *, 'term' AS part FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM joined)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
 ORACLE: dict[str, str] = {
     "op2_adaptive_rules": _op2(),
     "op3_chat_round_trip": OP3,
     "op6_exact_dedup": OP6,
     "op8_minhash_near_dedup": OP8,
+    "op13_source_divergence": OP13,
 }
