@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewise.llm import bytebpe, chat, divergence, exact, fm, langid, lm, mixing, near, packing, pii, rules
+from ratewise.llm import bytebpe, chat, divergence, exact, fm, langid, lm, mixing, near, packing, phrases, pii, rules
 from ratewise.llm.common import documents, table
 
 
@@ -50,6 +50,10 @@ def op10_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(documents(spark, sf_dir))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_fm": op9_quality_fm,
     "op10_language_bloom": op10_language_bloom,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_source_divergence": op13_source_divergence,
 }

@@ -86,6 +86,25 @@ comp AS (SELECT x, min(root) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON comp.x = doc_id"""
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                       '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(ps) AS p FROM d)),
+g AS (SELECT lang, ws[i:i + k - 1] AS ws, k FROM w, (VALUES (1), (2), (3)) AS s(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+f AS MATERIALIZED (SELECT lang, array_to_string(ws, ' ') AS phrase, k, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+many AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE a >= 10),
+parts AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(ws[:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail
+                       FROM (SELECT *, unnest(range(1, k)) AS j FROM many WHERE k > 1)),
+heads AS MATERIALIZED (SELECT p.*, x.a AS l FROM parts p JOIN many x ON x.lang = p.lang AND x.phrase = p.head),
+cuts AS (SELECT p.*, y.a AS r, 1000000 * p.a * p.a // (p.l * y.a) AS score FROM heads p JOIN many y ON y.lang = p.lang AND y.phrase = p.tail),
+c AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, part AS phrase, max(a) AS most FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM many WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE i.most IS NULL OR 100 * i.most < 50 * c.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
 OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 o AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -114,5 +133,6 @@ ORACLE: dict[str, str] = {
     "op3_chat_round_trip": OP3,
     "op6_exact_dedup": OP6,
     "op8_minhash_near_dedup": OP8,
+    "op11_phrase_mining": OP11,
     "op13_source_divergence": OP13,
 }
