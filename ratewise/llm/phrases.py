@@ -38,8 +38,8 @@ from ratewise.llm.common import settle, utf8
 LEAST = 10
 TOP = 2000
 INSIDE = 50  # percent of a phrase's occurrences inside one longer candidate that drop it
-CHUNK = 8_000_000  # bytes of text counted at a time
-HELD = 2_000_000  # entries that a task holds before it gives its filters away
+CHUNK = 2_000_000  # bytes of text counted at a time
+HELD = 300_000  # entries that a task holds before it gives its filters away
 LONG_WORD = 256  # bytes; longer words are hashed one by one
 SLICE_WORDS = 1 << 18  # word occurrences for each slice
 SLICES = (1 << 10, 1 << 20)  # least and most
@@ -75,7 +75,7 @@ class Words:
         self.sizes = ends - self.starts
         part = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), self.starts, "right")
         self.lang = np.array(langs, np.int64)[part]
-        piece = np.cumsum(buf == 10, dtype=np.int64)[self.starts]
+        piece = np.searchsorted(np.flatnonzero(buf == 10), self.starts)
         self.joined = piece[1:] == piece[:-1]
         self.eight = np.ndarray((len(buf) - 7,), "<u8", buffer=self.data, strides=(1,))
         h = mix(seeds[self.lang] + self.sizes.astype(np.uint64))
@@ -121,6 +121,13 @@ class Words:
         return order[at], np.diff(np.append(at, len(order)))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):  # few texts as Python objects at a time
+            some = batch.slice(at, 200)
+            yield from zip(some.column(0).to_pylist(), utf8(some.column(1)), strict=True)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[Words, list[str]]]:
     """The texts of (lang, text) batches as chunks of words, with the names of their langs."""
     names: dict[str, int] = {}
@@ -132,26 +139,25 @@ def chunks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[Words
     def out() -> Words:
         return Words(parts, langs, np.array(seeds, np.uint64), seed)
 
-    for batch in batches:
-        for lang, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            if lang not in names:
-                names[lang] = len(names)
-                digest = hashlib.blake2b(lang.encode(), digest_size=8, key=b"lang" + seed.to_bytes(8, "little")).digest()
-                seeds.append(int.from_bytes(digest, "little"))
-            plain, at = data.translate(_PLAIN), 0
-            while at < len(plain):
-                end = len(plain)
-                if end - at > CHUNK:  # a very long text is cut between pieces
-                    end = plain.rfind(b"\n", at, at + CHUNK)
-                    end = plain.find(b"\n", at + CHUNK) if end < 0 else end
-                    end = len(plain) if end < 0 else end
-                parts.append(plain[at:end])
-                langs.append(names[lang])
-                size += end - at
-                at = end + 1
-                if size >= CHUNK:
-                    yield out(), list(names)
-                    parts, langs, size = [], [], 0
+    for lang, data in _rows(batches):
+        if lang not in names:
+            names[lang] = len(names)
+            digest = hashlib.blake2b(lang.encode(), digest_size=8, key=b"lang" + seed.to_bytes(8, "little")).digest()
+            seeds.append(int.from_bytes(digest, "little"))
+        plain, at = data.translate(_PLAIN), 0
+        while at < len(plain):
+            end = len(plain)
+            if end - at > CHUNK:  # a very long text is cut between pieces
+                end = plain.rfind(b"\n", at, at + CHUNK)
+                end = plain.find(b"\n", at + CHUNK) if end < 0 else end
+                end = len(plain) if end < 0 else end
+            parts.append(plain[at:end])
+            langs.append(names[lang])
+            size += end - at
+            at = end + 1
+            if size >= CHUNK:
+                yield out(), list(names)
+                parts, langs, size = [], [], 0
     if parts:
         yield out(), list(names)
 
@@ -333,32 +339,19 @@ def _count_grams(size: int, seed: int, cut: int, words_map, pairs_map) -> Callab
     return run
 
 
-def merge_filters(filters: DataFrame, least: int = 1) -> DataFrame:
-    """One filter for each slice, from those of all tasks; only entries counted ``least`` times."""
-    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        which = key[0].as_py()
-        parts = [decode_filter(f, which) for f in table.column("filter").to_pylist()]
-        x, n = combine([np.concatenate([p[0][i] for p in parts]) for i in range(len(parts[0][0]))], np.concatenate([p[1] for p in parts]))
-        kept = n >= least
-        cut = table.column("filter")[0].as_py()[1]
-        if not kept.any():
-            return pa.table({"slice": pa.array([], pa.int32()), "filter": pa.array([], pa.binary())})
-        return pa.table({"slice": pa.array([which], pa.int32()), "filter": pa.array([encode_filter([a[kept] for a in x], n[kept], cut)], pa.binary())})
-
-    return filters.groupBy("slice").applyInArrow(merge, FILTER)
-
-
-def entries(filters: DataFrame, size: int) -> DataFrame:
-    """(w1 .. w<size>, a): the n-grams of filters, ids restored from quotient and remainder."""
+def merge_filters(filters: DataFrame, size: int, least: int = 1) -> DataFrame:
+    """(w1 .. w<size>, a): the filters of a slice merged in order, ids restored from quotient
+    and remainder; only n-grams counted ``least`` times."""
     names = [f"w{i + 1}" for i in range(size)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for which, data in zip(batch.column("slice").to_pylist(), batch.column("filter").to_pylist(), strict=True):
-                lanes, n = decode_filter(data, which)
-                yield pa.RecordBatch.from_arrays([*[pa.array(a.view(np.int64)) for a in restore(lanes)], pa.array(n)], names=[*names, "a"])
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [decode_filter(f.as_py(), key[0].as_py()) for f in table.column("filter")]
+        x, n = combine([np.concatenate([p[0][i] for p in parts]) for i in range(size)], np.concatenate([p[1] for p in parts]))
+        kept = n >= least
+        lanes = restore([a[kept] for a in x])
+        return pa.table([*[pa.array(a.view(np.int64)) for a in lanes], pa.array(n[kept])], names=[*names, "a"])
 
-    return filters.mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "a"]))
+    return filters.groupBy("slice").applyInArrow(merge, ", ".join(f"{x} long" for x in [*names, "a"]))
 
 
 # ---------------------------------------------------------------- bit maps
@@ -424,7 +417,7 @@ def ngrams(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 
     def grams(n: int, pairs_map) -> DataFrame:
         filters = docs.mapInArrow(_count_grams(n, seed, cut, words_map, pairs_map), FILTER)
-        return settle(entries(merge_filters(filters, LEAST), n), f"phrases-{n}")
+        return settle(merge_filters(filters, n, LEAST), f"phrases-{n}")
 
     pairs = grams(2, None)
     pairs_map = bit_map(pairs.select("w1", "w2").mapInArrow(_pairs_key, "key long"), pairs.count())
