@@ -1504,3 +1504,15 @@ def v1_densify_sql_view(spark, sf):
                count(*) AS n_rated,
                (SELECT max(col_ix) + 1 FROM rating_entries) - count(*) AS n_zero
         FROM rating_entries GROUP BY business_id""")
+
+
+# ---------------------------------------------------------------- mechanisms of their own
+
+def _add(module) -> None:
+    QUERIES.update(module.QUERIES)
+    ORACLE.update(module.ORACLE)
+
+
+from ratewise.plans import factors as _factors  # noqa: E402
+
+_add(_factors)
