@@ -131,15 +131,11 @@ def cluster_profile(assigned: DataFrame, category: str, col: str = "category") -
     )
 
 
-def kmeans_sweep(df: DataFrame, ks=(4, 5, 6, 7, 8), seeds=(1, 2, 3, 4, 5, 6)) -> DataFrame:
-    """(k, seed, cost, silhouette) per k."""
-    spark = df.sparkSession
-    rows = []
-    for k in ks:
-        cl = fit_kmeans(df, k, seeds)
-        s = silhouette(assign(cl, df))
-        rows.append((k, cl.seed, float(cl.cost), s))
-    return spark.createDataFrame(rows, "k int, seed int, cost double, silhouette double")
+def kmeans_sweep(df: DataFrame, ks=(4, 5, 6, 7, 8), seeds=(1, 2, 3, 4, 5, 6), cols=("longitude", "latitude")) -> DataFrame:
+    """(k, seed, cost, silhouette) of the best seed per k; all fits share each pass over the points."""
+    from ratewise.operators.lloyd import sweep_report
+
+    return sweep_report(df, ks, seeds, cols)
 
 
 def format_centroids(cents: DataFrame, cols=("longitude", "latitude")) -> DataFrame:

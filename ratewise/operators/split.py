@@ -24,6 +24,54 @@ def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 1) -> list[DataF
     return df.randomSplit(list(weights), seed)
 
 
+DIGITS = 3  # hexadecimal digits that a round of the selection looks at
+
+
+def exact_split(df: DataFrame, key: str, share: tuple[int, int] = (4, 5)) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with exactly ``share`` of the rows in train (rounded half up), the
+    same rows under any partitioning.
+
+    Rows are ordered by md5 of the key, then md5 of the whole row.  The hash at the wanted
+    rank is found by histograms of its digits: each round counts the rows by the next
+    ``DIGITS`` digits below the prefix found so far (4,096 counts, combined in the tasks) and
+    goes on in the bucket that holds the rank, until that bucket is one hash.  Only
+    identical rows share a hash; they are counted, and as many as are wanted stay.  A null
+    key is ordered like an empty one."""
+    whole = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    hashed = df.withColumn("_h", F.concat(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.md5(whole)))
+    prefix, left, cut = "", None, None
+    while cut is None:
+        at = len(prefix)
+        part = hashed.where(F.col("_h").startswith(prefix)) if prefix else hashed
+        rows = part.groupBy(F.substring("_h", at + 1, DIGITS).alias("d")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_h").alias("low"), F.max("_h").alias("high")).collect()
+        if left is None:
+            total = sum(r["n"] for r in rows)
+            left = (2 * share[0] * total + share[1]) // (2 * share[1])
+        for r in sorted(rows, key=lambda r: r["d"]):
+            if left <= r["n"]:
+                if r["low"] == r["high"]:
+                    cut = r["low"]
+                else:
+                    prefix += r["d"]
+                break
+            left -= r["n"]
+        else:  # an empty table
+            cut = ""
+    train, test = hashed.where(F.col("_h") < cut), hashed.where(F.col("_h") > cut)
+    same = hashed.where(F.col("_h") == cut).groupBy(*[F.col(c) for c in hashed.columns]).agg(F.count(F.lit(1)).alias("_n"))
+
+    stay = F.lit(left or 0).cast("long")
+
+    def copies(n) -> DataFrame:
+        """``n`` of the identical rows at the cut."""
+        some = same.withColumn("_i", n).where(F.col("_i") > 0)
+        return some.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_i")))).select(*df.columns)
+
+    return (train.select(*df.columns).unionByName(copies(F.least(F.col("_n"), stay))),
+            test.select(*df.columns).unionByName(copies(F.col("_n") - stay)))
+
+
 def numbered(df: DataFrame, order, name: str) -> DataFrame:
     """Rows of ``df`` in a total order with their long position, from 0.
 

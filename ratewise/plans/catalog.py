@@ -1514,5 +1514,7 @@ def _add(module) -> None:
 
 
 from ratewise.plans import factors as _factors  # noqa: E402
+from ratewise.plans import grouping as _grouping  # noqa: E402
 
-_add(_factors)
+for _module in (_factors, _grouping):
+    _add(_module)

@@ -11,7 +11,7 @@ ORACLE = E.oracle_sql()
 # Planted KMeans recovery is specified on sf0.01 (FIXTURES §2); everything else runs on sf0.001.
 CLUSTER_KEYS = {"m15_assign", "m15_nearest_centroid", "m14_kmeans_centres", "m16_silhouette", "a8_cluster_sizes",
                 "a9_category_per_cluster", "m18_cluster_profile", "s11_centroid_roundtrip", "s3_from_rows",
-                "s7_single_file", "s10_read_centroids", "m17_centroids"}
+                "s7_single_file", "s10_read_centroids", "m17_centroids", "m16_point_silhouette", "m19_planted_k"}
 
 
 def _norm(v):
