@@ -7,10 +7,13 @@ range-sorted by finish time over all sources and taken until the total budget is
 spent; an entry in service at time 1 is cut there, and the entry that crosses the
 budget is cut too.
 
-The shuffle order of a source is the order of a 64-bit hash of (seed, doc_id, size).
-A hash is uniform, so its leading bits cut any source, however hot, into even
-buckets: cumulative words come from bucket sums plus a running sum inside each
-bucket, and no source is ever gathered in one task.
+The shuffle order of a source is the order of a 64-bit hash of the seed, the row
+(doc_id, source, text) and the row's number among rows equal to it.  Equal rows are
+numbered task by task, so a row that repeats a billion times is never gathered, and
+since equal rows can stand for each other, the mix is the same however the table is
+split into files and tasks.  A hash is uniform, so its leading bits cut any source,
+however hot, into even buckets: cumulative words come from bucket sums plus a running
+sum inside each bucket, and no source is ever gathered in one task.
 
 Targets: sources by code point (null last) weigh 3, 1, 2, repeating; they share
 ``share`` of all words, none gets more than ``most`` times its own words, and the
@@ -19,7 +22,9 @@ source; only it is ordered in one place.
 
 Null text has size 0, null sources form one source, documents of size 0 are never
 taken, repeated rows are documents of their own, an empty table gives an empty
-result, and other columns pass through ``mix`` whatever their names.
+result, and other columns pass through ``mix`` whatever their names (rows that differ in
+those alone count as equal).  A very long text is one document like any other: only its
+size travels.  Equal finish times are ordered by the hash.
 """
 
 from __future__ import annotations
@@ -64,15 +69,25 @@ def targets(sources: DataFrame, share: float = SHARE, most: int = MOST) -> DataF
                     .otherwise(F.least(F.col("ceiling"), F.coalesce(lowest * F.col("w"), F.col("ceiling")))).alias("target"))
 
 
+def numbered_copies(sized: DataFrame) -> DataFrame:
+    """``nth``: the row's number among rows of its mark, from 0; a running number within its
+    task's rows plus the counts of the tasks before."""
+    t = sized.withColumn("task", F.shiftright(UID, 33))
+    counts = t.groupBy("mark", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("mark").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("mark", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    local = F.row_number().over(Window.partitionBy("mark", "task").orderBy(UID)) - 1
+    return t.withColumn("local", local).join(base, ["mark", "task"]).withColumn("nth", F.col("base") + F.col("local")).drop("task", "base", "local")
+
+
 def queue(sized: DataFrame, n_docs: int, share: float, most: int) -> DataFrame:
-    """(uid, doc_id, size, source_size, target, start): words of the source before
-    this document in the shuffled order."""
+    """(uid, doc_id, size, source_size, target, u, start): words of the source before
+    this document in the shuffled order; ``u`` is its place there."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(per_source, share, most)
     bits = max(0, (max(1, n_docs) // BUCKET_ROWS).bit_length())
-    # A hash of (seed, id, size, row): rows that repeat are spread as well.
-    u = F.xxhash64(F.lit(SEED), "doc_id", "size", F.col(UID))
-    q = sized.withColumn("u", u).withColumn("bucket", F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("long"))
+    u = F.xxhash64(F.lit(SEED), "doc_id", "size", "mark", "nth")  # rows that repeat are spread as well
+    q = numbered_copies(sized).withColumn("u", u).withColumn("bucket", F.shiftrightunsigned("u", 64 - bits) if bits else F.lit(0).cast("long"))
     key = [F.col("source"), F.col("bucket")]
     sums = q.groupBy(*key).agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +98,7 @@ def queue(sized: DataFrame, n_docs: int, share: float, most: int) -> DataFrame:
         Window.unboundedPreceding, -1)
     local = q.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     j = local.join(base, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    return j.select(UID, "doc_id", "size", "source_size", "target", (F.col("base") + F.col("local")).alias("start"))
+    return j.select(UID, "doc_id", "size", "source_size", "target", "u", (F.col("base") + F.col("local")).alias("start"))
 
 
 def entries(queued: DataFrame, most: int = MOST) -> DataFrame:
@@ -92,11 +107,11 @@ def entries(queued: DataFrame, most: int = MOST) -> DataFrame:
     at = F.col("start") + F.col("copy") * F.col("source_size")
     goal = F.floor("target").cast("long")
     e = queued.where("size > 0").withColumn("copy", F.explode(F.array(*[F.lit(k).cast("long") for k in range(most)])))
-    e = e.select(UID, "copy", "size", "target", at.alias("at"), F.greatest(F.lit(0), F.least(F.col("size"), goal - at)).alias("now"))
+    e = e.select(UID, "doc_id", "u", "copy", "size", "target", at.alias("at"), F.greatest(F.lit(0), F.least(F.col("size"), goal - at)).alias("now"))
     parts = F.array(
         F.struct(F.lit(0).alias("part"), F.col("now").alias("words"), ((F.col("at") + F.col("now")) / F.col("target")).alias("finish")),
         F.struct(F.lit(1).alias("part"), (F.col("size") - F.col("now")).alias("words"), ((F.col("at") + F.col("size")) / F.col("target")).alias("finish")))
-    return e.select(UID, "copy", F.inline(parts)).where("words > 0")
+    return e.select(UID, "doc_id", "u", "copy", F.inline(parts)).where("words > 0")
 
 
 def schedule(sized: DataFrame, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +121,7 @@ def schedule(sized: DataFrame, share: float = SHARE, most: int = MOST) -> tuple[
     queued = settle(queue(sized, total["n"], share, most), "queue")
     budget = int(total["words"] * share)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["finish", UID, "copy", "part"]
+    order = ["finish", "u", "doc_id", UID, "copy", "part"]
     # Written once with its range number, so sampling again after a loss can't move rows.
     ranged = settle(entries(queued, most).repartitionByRange(parts, *order)
                     .withColumn("range", F.spark_partition_id()), "entries")
@@ -122,7 +137,11 @@ def schedule(sized: DataFrame, share: float = SHARE, most: int = MOST) -> tuple[
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return with_uid(docs.select(col("doc_id"), col("source"), word_count(col("text")).alias("size")))
+    return with_uid(docs.select(col("doc_id"), col("source"), word_count(col("text")).alias("size"), mark_of_row()))
+
+
+def mark_of_row() -> Column:
+    return F.xxhash64(*[F.coalesce(col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "text")]).alias("mark")
 
 
 def mix_report(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -143,7 +162,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mixed documents, columns as given: a document taken twice comes twice; the
     few that are cut at the end of their source's share keep their first words."""
     full = settle(with_uid(docs.withColumn("__rw_size", word_count(col("text")))), "mix-full")
-    sized = full.select(col("doc_id"), col("source"), F.col("__rw_size").alias("size"), UID)
+    sized = full.select(col("doc_id"), col("source"), F.col("__rw_size").alias("size"), UID, mark_of_row())
     _, taken = schedule(settle(sized, "sizes"), share, most)
     copies = taken.groupBy(F.col(UID).alias("t_uid"), "copy").agg(F.sum("words").alias("__rw_words")).drop("copy")
     j = full.join(copies, F.col(UID) == F.col("t_uid"))

@@ -8,7 +8,9 @@ a length, which sequences and offsets they take.  Pieces get their rank within t
 length without any sort: a running number inside the task that cut them, plus the
 counts of the tasks before it.
 
-Null text counts as empty; an empty text is its end token alone, one piece.  Rows
+Null text counts as empty; an empty text is its end token alone, one piece.  The strings
+of special tokens become those tokens, as in the tokenizer itself.  A very long text is
+cut into pieces like any other; its ids are held by the task that reads it.  Rows
 may repeat and doc_id may be null: every row is packed.  An empty table gives an
 empty result.  Only doc_id and text are read, so other columns can't clash.
 """
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.llm.common import only, settle, utf8, words
+from ratewise.llm.common import only, settle, utf8
 from ratewise.llm.tokens import default_path, encoder
 
 SIZE = 4096
@@ -49,7 +51,7 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> D
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                ids = enc.encode(words(data)) + end
+                ids = enc.encode_text(data) + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     cut = ids[at:at + 4 * size]
                     n = len(cut) // 4

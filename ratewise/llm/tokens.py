@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from ratewise.llm.common import words as split
+
 KEPT_WORDS = 400_000
 KEPT_RUNS = 150_000
 LONG_WORD = 128  # bytes; longer words are not kept
@@ -46,6 +48,10 @@ class Encoder:
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Strings of special tokens are found in the raw text, before anything is lower-cased.
+        added = {t.content.encode(): i for i, t in self.whole.get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + b")") if added else None
         # The vocabulary marks the last token of a run.
         self.last = np.zeros(self.whole.get_vocab_size(), bool)
         self.last[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
@@ -119,6 +125,16 @@ class Encoder:
         return out
 
 
+    def encode_text(self, data: bytes | None) -> bytes:
+        """Ids of a whole text as the tokenizer itself gives them (special-token strings
+        included, start and end tokens not added)."""
+        if not data:
+            return b""
+        if self.cuts is None or b"<|" not in data and not self.cuts.search(data):
+            return self.encode(split(data))
+        return b"".join(self.special.get(part) or self.encode(split(part)) for part in self.cuts.split(data))
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
     if path not in _ENCODERS:

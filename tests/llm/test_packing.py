@@ -88,3 +88,18 @@ def test_words_give_the_ids_of_the_text():
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
     for t in [*texts, "", "  ", "a" * 1000, "don't we'll I'd"]:
         assert np.frombuffer(enc.encode(words(t.encode())), np.uint32).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_special_strings_as_the_untouched_tokenizer_reads_them():
+    from tokenizers import Tokenizer
+
+    plain, enc = Tokenizer.from_file(default_path()), encoder(default_path())
+    texts = ["a <|endoftext|> b", "<|startoftext|><|endoftext|>", "x<|endoftext|>y's", "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext", "|> <| <|endoftext|", "<|endoftext|>" * 3,
+             "<<|endoftext|>>", "É <|startoftext|> é", "<|end oftext|>", "no mark", "", " ", "1<|startoftext|>2 ½<|endoftext|>\u0301"]
+    for t in texts:
+        assert np.frombuffer(enc.encode_text(t.encode()), np.uint32).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    rng = random.Random(3)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|ENDOFTEXT|>", " ", "word", "Ünï", "don't", "\n", "7"]
+    for _ in range(500):
+        t = "".join(rng.choices(marks, k=rng.randint(1, 8)))
+        assert np.frombuffer(enc.encode_text(t.encode()), np.uint32).tolist() == plain.encode(t, add_special_tokens=False).ids, t
