@@ -1515,6 +1515,7 @@ def _add(module) -> None:
 
 from ratewise.plans import factors as _factors  # noqa: E402
 from ratewise.plans import grouping as _grouping  # noqa: E402
+from ratewise.plans import sketches as _sketches  # noqa: E402
 
-for _module in (_factors, _grouping):
+for _module in (_factors, _grouping, _sketches):
     _add(_module)

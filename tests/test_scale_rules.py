@@ -13,6 +13,7 @@ ALLOWED = {
     ("operators/matrix.py", ".rdd"): "MLlib CoordinateMatrix interop view",
     ("operators/als.py", ".take("): "Arrow rows inside a task",
     ("operators/lloyd.py", ".collect()"): "centres and moments: k rows for each configuration",
+    ("operators/sketch.py", ".collect()"): "one sketch of size x width numbers",
     ("operators/split.py", ".collect()"): "4096 counts of a histogram of hash digits",
     ("plans/catalog.py", ".first()"): "one number: the chosen component count",
     ("session.py", ".first()"): "one row of table metadata (location of a temporary table)",
