@@ -106,6 +106,17 @@ def dense_index(df: DataFrame, key: str, index_col: str | None = None, descendin
     return numbered(base, [F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()], index_col)
 
 
+def grow_index(index: DataFrame, df: DataFrame, key: str, index_col: str | None = None) -> DataFrame:
+    """The next generation of an index.  Keys of ``df`` that ``index`` lacks are numbered
+    after its last number, in key order; numbers once given never move.  A null key is a key
+    like any other, and an empty index starts at 0.  Only the new keys are sorted."""
+    index_col = index_col or f"{key}_ix"
+    new = join_key(df.select(key).distinct(), index.select(key), key, "left_anti")
+    after = index.agg(F.coalesce(F.max(index_col) + 1, F.lit(0).cast("long"))).scalar()
+    fresh = numbered(new, [F.col(key).asc_nulls_first()], index_col)
+    return index.select(key, index_col).unionByName(fresh.select(key, (F.col(index_col) + after).alias(index_col)))
+
+
 def join_key(df: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join on ``key`` in which null keys match each other."""
     right = side.withColumnRenamed(key, f"_{key}_side")

@@ -1,4 +1,4 @@
-"""Registered queries of the exact split, the batched KMeans sweep and point silhouettes."""
+"""Registered queries of the growing index, the exact split, the batched KMeans sweep and point silhouettes."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewise.operators import lloyd
-from ratewise.operators.split import exact_split
+from ratewise.operators.split import dense_index, exact_split, flag_split, grow_index
 from ratewise.plans import catalog as C
 from ratewise.plans.oracle import CITY, with_views
 from ratewise.sources import views as V
@@ -30,6 +30,15 @@ PLANTED_SQL = with_views("""
 SELECT (SELECT count(*) FROM plants)::INT AS k, round(sum(pow(longitude - clon, 2) + pow(latitude - clat, 2)), 6) AS cost,
        (SELECT round(avg(s), 4) FROM sil) AS silhouette FROM assigned JOIN plants USING (cluster_name)""", CITY, C.PLANT_NAMES, _POINTS)
 
+GROWN_SQL = with_views("""
+SELECT user_id, row_number() OVER (ORDER BY min(CASE WHEN is_test THEN 1 ELSE 0 END), user_id) - 1 AS user_ix FROM ratings GROUP BY user_id""")
+
+
+def i1_growing_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The users of training, then those that only the test rows bring."""
+    train, test = flag_split(V.ratings(spark, sf))
+    return grow_index(dense_index(train, "user_id", "user_ix"), test, "user_id", "user_ix")
+
 
 def i3_exact_split(spark: SparkSession, sf: str) -> DataFrame:
     """The exact 80/20 split of all ratings."""
@@ -51,5 +60,5 @@ def m19_planted_k(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("k", F.round("cost", 6).alias("cost"), F.round("silhouette", 4).alias("silhouette"))
 
 
-QUERIES = {"i3_exact_split": i3_exact_split, "m16_point_silhouette": m16_point_silhouette, "m19_planted_k": m19_planted_k}
-ORACLE = {"i3_exact_split": EXACT_SQL, "m16_point_silhouette": POINT_SQL, "m19_planted_k": PLANTED_SQL}
+QUERIES = {"i1_growing_index": i1_growing_index, "i3_exact_split": i3_exact_split, "m16_point_silhouette": m16_point_silhouette, "m19_planted_k": m19_planted_k}
+ORACLE = {"i1_growing_index": GROWN_SQL, "i3_exact_split": EXACT_SQL, "m16_point_silhouette": POINT_SQL, "m19_planted_k": PLANTED_SQL}

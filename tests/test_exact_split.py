@@ -1,4 +1,4 @@
-"""The exact split: its count, and the same rows whatever the layout."""
+"""The exact split: its count, and the same rows whatever the layout.  The index that grows."""
 
 import hashlib
 from collections import Counter
@@ -42,3 +42,20 @@ def test_a_hot_key_of_identical_rows(spark, share, want):
 def test_empty_table(spark):
     train, test = both(spark.createDataFrame([], "k string"), "k")
     assert not train and not test
+
+
+def test_index_grows_without_moving_numbers(spark):
+    batches = [["m", "c", None, "c"], ["a", "m", "z"], [], [None, "b", "a", "aa", "b"]]
+    frames = [spark.createDataFrame([(k,) for k in b], "k string") for b in batches]
+    index = split.dense_index(frames[0], "k")
+    before = {r[0]: r[1] for r in index.collect()}
+    assert before == {None: 0, "c": 1, "m": 2}
+    for batch, frame in zip(batches[1:], frames[1:], strict=True):
+        index = split.grow_index(index, frame, "k")
+        now = {r[0]: r[1] for r in index.collect()}
+        assert {k: now[k] for k in before} == before
+        fresh = sorted(k for k in set(batch) - set(before))
+        assert [now[k] for k in fresh] == list(range(len(before), len(before) + len(fresh)))
+        before = now
+    grown = split.grow_index(index.limit(0), frames[0], "k")
+    assert {r[0]: r[1] for r in grown.collect()} == {None: 0, "c": 1, "m": 2}
