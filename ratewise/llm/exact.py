@@ -162,6 +162,9 @@ def resolve(keyed: DataFrame, docs_text: DataFrame, digest: int = DIGEST) -> Dat
     bad = settle(ambiguous(docs_text, digest), "ambiguous")
     if bad.isEmpty():
         return keyed
+    if "text" not in keyed.columns:
+        # Row ids hold for one written table only, so it is written anew with its texts.
+        keyed = settle(with_recipes(docs_text, digest), "recipes-text")
     mine = chunk_rows(only(keyed, UID, "text"), digest).join(bad, "digest", "left_semi")
     ranked = mine.select("digest", "chunk").distinct().groupBy("digest").agg(
         F.sort_array(F.collect_list("chunk")).alias("all"))
@@ -184,10 +187,7 @@ def groups(keyed: DataFrame) -> DataFrame:
 def find_copies(docs: DataFrame, digest: int = DIGEST) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     slim = only(docs, "doc_id", "text")
-    keyed = with_recipes(slim, digest)
-    if digest == DIGEST:
-        keyed = keyed.drop("text")
-    keyed = settle(keyed, "recipes")
+    keyed = settle(with_recipes(slim, digest).drop("text"), "recipes")
     keyed = resolve(keyed, slim, digest)
     # Written first, both sides of the join below are plain scans: adaptive execution
     # can then split a recipe that a third of the rows share.

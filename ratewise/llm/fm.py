@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ratewise.llm.common import col, crc_column, one_per_id, only, utf8
 
@@ -140,7 +141,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Machine:
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    n_chars = col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    """doc_id, text and n_chars; a column n_chars that holds no numbers counts as null."""
+    n_chars = F.lit(None).cast("long")
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.NumericType | T.StringType):
+        n_chars = col("n_chars").try_cast("long")
     return docs.select(col("doc_id"), col("text"), n_chars.alias("n_chars"))
 
 

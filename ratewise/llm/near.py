@@ -31,6 +31,7 @@ a null doc_id counts after all numbers.  Other columns pass through ``drop_near`
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +45,25 @@ from ratewise.llm.common import UID, Scratch, add_columns, col, only, settle, ut
 
 WIDTH = 5
 PERCENT = 85
-K = 128
-MATCHES = 92
-FINE, FINE_MATCHES = 512, 401
+K, MISS = 128, 5e-5
+FINE, FINE_MISS = 512, 3e-5
 BLOCK = 2048
 
-N, SET, SIG = "__rw_n", "__rw_set", "__rw_sig"
+N, SET, SIG, TXT = "__rw_n", "__rw_set", "__rw_sig", "__rw_txt"
+
+
+def least_matches(k: int, percent: int, miss: float) -> int:
+    """The largest threshold that two sets of similarity ``percent`` stay below with
+    probability at most ``miss``, when each of ``k`` coordinates agrees on its own."""
+    p, below = percent / 100, 0.0
+    for m in range(k + 1):
+        below += math.comb(k, m) * p ** m * (1 - p) ** (k - m)
+        if below > miss:
+            return max(m, 1)
+    return k
+
+
+MATCHES, FINE_MATCHES = least_matches(K, PERCENT, MISS), least_matches(FINE, PERCENT, FINE_MISS)
 
 
 def _coordinates(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +106,7 @@ def signature(s: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def with_signatures(docs: DataFrame) -> DataFrame:
-    """``docs`` plus row id, set size, identifier of the set, and signature."""
+    """``docs`` plus row id, hash of the text, set size, identifier of the set, and signature."""
 
     def make(batch: pa.RecordBatch) -> list:
         sizes, sets, flat = [], [], []
@@ -107,14 +121,18 @@ def with_signatures(docs: DataFrame) -> DataFrame:
         return [sizes, sets, sig]
 
     return with_uid(add_columns(docs, [
-        T.StructField(N, T.LongType()), T.StructField(SET, T.BinaryType()), T.StructField(SIG, T.ArrayType(T.IntegerType()))], make))
+        T.StructField(N, T.LongType()), T.StructField(SET, T.BinaryType()), T.StructField(SIG, T.ArrayType(T.IntegerType()))], make)
+        .withColumn(TXT, F.xxhash64(col("text"))))
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """(set, cid, first_id, n, sig): one row per distinct set; cid is its smallest row id."""
+    """(set, cid, rep_id, rep_txt, first_id, n, sig): one row per distinct set; cid is its
+    smallest row id, rep_id and rep_txt are that row's doc_id and hash of the text."""
     return (signed.where(F.col(N) > 0).groupBy(F.col(SET).alias("set"))
-            .agg(F.min(UID).alias("cid"), F.min("doc_id").alias("first_id"),
-                 F.first(N).alias("n"), F.first(SIG).alias("sig")))
+            .agg(F.min(F.struct(UID, "doc_id", TXT)).alias("rep"), F.min("doc_id").alias("first_id"),
+                 F.first(N).alias("n"), F.first(SIG).alias("sig"))
+            .select("set", F.col("rep")[UID].alias("cid"), F.col("rep.doc_id").alias("rep_id"), F.col("rep")[TXT].alias("rep_txt"),
+                    "first_id", "n", "sig"))
 
 
 def prefixes(cls: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -132,8 +150,11 @@ def prefixes(cls: DataFrame, matches: int = MATCHES) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, items, fine) for classes (cid, first_id, set): the full shingle sets, and
-    a longer signature of their 16 lowest bits."""
+    """(cid, items, fine) for classes (cid, rep_id, rep_txt, set): the full shingle sets, and
+    a longer signature of their 16 lowest bits.
+
+    A class meets only rows with the id and the text of its representative, however often
+    an id repeats or is null."""
     kind = "cid long, items array<bigint>, fine array<smallint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +170,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int16()))], names=["cid", "items", "fine"])
 
-    texts = only(docs, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    texts = only(docs, "doc_id", "text").join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_txt")))
     found = texts.select("cid", "set", "text").mapInArrow(run, kind)
     return found.groupBy("cid").agg(F.first("items").alias("items"), F.first("fine").alias("fine"))
 
@@ -217,7 +239,8 @@ def open_lists(posts: DataFrame, roots: DataFrame) -> DataFrame:
     return settle(labelled.join(mixed, "token"), "open-lists")
 
 
-def open_pairs(lists: DataFrame, cls: DataFrame, sets: DataFrame, matches: int = MATCHES) -> DataFrame:
+def open_pairs(lists: DataFrame, cls: DataFrame, sets: DataFrame, percent: int = PERCENT, matches: int = MATCHES,
+               fine: int = FINE_MATCHES) -> DataFrame:
     """(a, b): members of one list in different components, but for pairs within the list's
     largest component (they are connected already).  A pair is made in the first list
     that both have in their prefixes, and only if enough coordinates agree, first of the
@@ -226,24 +249,25 @@ def open_pairs(lists: DataFrame, cls: DataFrame, sets: DataFrame, matches: int =
     rows = settle(rows.join(sets.select(F.col("cid").alias("s"), "fine"), F.col("cid") == F.col("s")).drop("s"), "open-rows")
     few = rows.where("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "pre", "sig", "fine", "n")])
     met = few.join(rows, "token").where(
-        F.expr("x_comp <> comp and (comp = top or x_cid < cid)") & _sizes_fit("x_n", "n")
+        F.expr("x_comp <> comp and (comp = top or x_cid < cid)") & _sizes_fit("x_n", "n", percent)
         & (F.array_min(F.array_intersect("x_pre", "pre")) == F.col("token"))
-        & (_agree("x_sig", "sig") >= matches) & (_agree("x_fine", "fine") >= FINE_MATCHES))
+        & (_agree("x_sig", "sig") >= matches) & (_agree("x_fine", "fine") >= fine))
     return met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b"))
 
 
-def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, roots of the linked ones); ``signed`` is written already."""
     with Scratch() as scratch:
-        cls, roots = _link(docs, signed, percent, matches)
+        cls, roots = _link(docs, signed, percent)
     scratch.clear(docs.sparkSession, cls, roots)
     return cls, roots
 
 
-def _link(docs: DataFrame, signed: DataFrame, percent: int, matches: int) -> tuple[DataFrame, DataFrame]:
-    cls = settle(classes(only(signed, UID, "doc_id", N, SET, SIG)), "classes")
+def _link(docs: DataFrame, signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    matches, fine = least_matches(K, percent, MISS), least_matches(FINE, percent, FINE_MISS)
+    cls = settle(classes(only(signed, UID, "doc_id", TXT, N, SET, SIG)), "classes")
     posts = settle(prefixes(cls, matches), "prefixes")
-    wanted = posts.select("cid").distinct().join(cls.select("cid", "first_id", "set"), "cid")
+    wanted = posts.select("cid").distinct().join(cls.select("cid", "rep_id", "rep_txt", "set"), "cid")
     sets = settle(full_sets(docs, wanted), "sets")
 
     def joined(old: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -259,7 +283,7 @@ def _link(docs: DataFrame, signed: DataFrame, percent: int, matches: int) -> tup
     if not links.isEmpty():
         roots = joined(roots, links)
         lists = open_lists(posts, roots)
-    links = settle(confirm(settle(open_pairs(lists, cls, sets, matches), "open"), cls, sets, percent, matches), "links")
+    links = settle(confirm(settle(open_pairs(lists, cls, sets, percent, matches, fine), "open"), cls, sets, percent, matches), "links")
     if not links.isEmpty():
         roots = joined(roots, links)
     return cls, roots

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -277,6 +278,19 @@ def join_spans(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
+def _disjoint(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that ``spans`` cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def choose(found: DataFrame, w: np.ndarray) -> DataFrame:
     """One row per document: counts, digest of the base spans, all spans."""
     kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -285,11 +299,14 @@ def choose(found: DataFrame, w: np.ndarray) -> DataFrame:
     def one(cand: list[dict]) -> tuple:
         base = [(c["kind"], c["s"], c["e"]) for c in cand if c["base"]]
         rest = [(float(w[features(c["kind"], c["votes"], c["bin"])].sum()), (c["kind"], c["s"], c["e"])) for c in cand if not c["base"]]
-        spans, taken = list(base), sorted((s, e) for _, s, e in base)
+        spans, (starts, ends) = list(base), _disjoint(base)
         for score, span in sorted(rest, key=lambda x: (-x[0], x[1][1], x[1][0])):
-            if 1 / (1 + math.exp(-max(-30.0, min(30.0, score)))) >= ACCEPT and all(span[2] <= s or e <= span[1] for s, e in taken):
-                spans.append(span)
-                taken.append((span[1], span[2]))
+            if 1 / (1 + math.exp(-max(-30.0, min(30.0, score)))) >= ACCEPT:
+                at = bisect_left(starts, span[2])  # the intervals before it start before the span ends
+                if not at or ends[at - 1] <= span[1]:
+                    spans.append(span)
+                    starts.insert(at, span[1])
+                    ends.insert(at, span[2])
         n = Counter(k for k, _, _ in base)
         return (*[n[k] for k in BASE], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans))
 

@@ -9,13 +9,16 @@ result: groups with few documents use the merged sketch of their language, or of
 everything.  From the quantiles of a group come its fences, and the documents are
 joined with the fences of their group and filtered.
 
-A fence is the median plus ``SPREADS`` times the distance from the median down to the
-5th percentile (at least the rule's slack), so junk above the median can't move it
-as long as it is less than half of a group.  Only documents that pass the base rule
-are sketched.
+A fence is the median plus ``SPREADS`` times the distance from the median up to the
+rule's upper quantile (``UPPER``), or from the rule's floor where a group's values lie
+closer than that.  Symbols and duplicate lines are 0 in most documents, so their upper
+quantile is the 75th percentile and junk can't move a fence as long as it is less than a
+quarter of a group; chance repetition of words spreads over many documents, and the 90th
+percentile measures it.  Only documents that pass the base rule are sketched.
 
 Nulls: a null text has no words and fails the base rule; null lang or source form
-groups of their own.  Rows may repeat; an empty table gives an empty result; in
+groups of their own.  Rows may repeat; an empty table gives an empty result; a very
+long text is one row's work, a few numbers for each word, and never moves; in
 ``keep_good`` other columns pass through, whatever their names.
 """
 
@@ -29,9 +32,10 @@ from ratewise.llm.common import SPACE_CLASS, col, only, settle
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words in repeated windows
 SUPPORT = 200  # documents a sketch needs to stand alone
-SPREADS = 6
-#: Rule -> smallest distance of a fence from the median, in parts per ten thousand.
-SLACK = {"symbols": 100, "dup_lines": 1000, "repeats": 800}
+SPREADS = 12
+#: Rule -> percent of the upper quantile, and least spread in parts per ten thousand.
+UPPER = {"symbols": 75, "dup_lines": 75, "repeats": 90}
+FLOOR = {"symbols": 50, "dup_lines": 300, "repeats": 150}
 
 ST = "__rw_st"
 
@@ -103,36 +107,37 @@ def sketches(stats: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, n, p05, p50) of sketches merged to ``keys``."""
+    """(keys, rule, n, p50, p75, p90) of sketches merged to ``keys``."""
     merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rule")
     up = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = merged.withColumn("up", F.sum("n").over(up)).withColumn("total", F.sum("n").over(group))
     at = lambda p: F.min(F.when(F.col("up") * 100 >= F.col("total") * p, bucket_floor(F.col("bucket"))))
-    return t.groupBy(*keys, "rule").agg(F.max("total").alias("n"), at(5).alias("p05"), at(50).alias("p50"))
+    return t.groupBy(*keys, "rule").agg(F.max("total").alias("n"), *[at(p).alias(f"p{p}") for p in (50, 75, 90)])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """(lang, source, <rule> ...): the highest value each rule lets pass."""
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("rule"))
-    own, lang, all_ = (quantiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
-    lang = lang.select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), *[F.col(x).alias(f"l_{x}") for x in ("n", "p05", "p50")])
-    all_ = all_.select(F.col("rule").alias("a_rule"), *[F.col(x).alias(f"a_{x}") for x in ("p05", "p50")])
+    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv]), F.col("rule"))
+    upper = F.coalesce(*[F.when(F.col("rule") == r, F.col(f"p{p}")) for r, p in UPPER.items()])
+    own, lang, all_ = (quantiles(sketch, k).withColumn("upper", upper) for k in (["lang", "source"], ["lang"], []))
+    lang = lang.select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), *[F.col(x).alias(f"l_{x}") for x in ("n", "p50", "upper")])
+    all_ = all_.select(F.col("rule").alias("a_rule"), *[F.col(x).alias(f"a_{x}") for x in ("p50", "upper")])
     j = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(
         all_, F.col("rule") == F.col("a_rule"))
 
     def best(x: str) -> Column:
         return F.when(F.col("n") >= SUPPORT, F.col(x)).when(F.col("l_n") >= SUPPORT, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}"))
 
-    top = best("p50") + F.lit(SPREADS) * F.greatest(best("p50") - best("p05"), slack)
+    top = best("p50") + F.lit(SPREADS) * F.greatest(best("upper") - best("p50"), floor)
     return j.select("lang", "source", "rule", top.alias("top")).groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("top"))).alias(r) for r in SLACK])
+        *[F.max(F.when(F.col("rule") == r, F.col("top"))).alias(r) for r in FLOOR])
 
 
 def judge(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """``stats`` (written already) plus base_failed and kept as ``__rw_bad``, ``__rw_keep``."""
     st = F.col(ST)
-    lim = limits.select(F.col("lang").alias("__rw_l"), F.col("source").alias("__rw_s"), *[F.col(r).alias(f"__rw_{r}") for r in SLACK])
+    lim = limits.select(F.col("lang").alias("__rw_l"), F.col("source").alias("__rw_s"), *[F.col(r).alias(f"__rw_{r}") for r in FLOOR])
     j = stats.join(lim, col("lang").eqNullSafe(F.col("__rw_l")) & col("source").eqNullSafe(F.col("__rw_s")), "left")
     inside = F.lit(True)
     for r, v in ratios(st).items():

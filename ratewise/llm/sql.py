@@ -43,23 +43,24 @@ sk AS (SELECT lang, source, rule, (val >> cut) + cut * 64 AS b, count(*) AS n FR
 def _quantiles(name: str, keys: str) -> str:
     by = f"{keys}, rule" if keys else "rule"
     low = "CAST(b - c * 64 AS BIGINT) << c"
+    share = "CASE rule " + " ".join(f"WHEN '{r}' THEN {p}" for r, p in rules.UPPER.items()) + " END"
     return f"""
 {name}_m AS (SELECT {by}, b, CAST(greatest(floor((b - 32) / 64), 0) AS BIGINT) AS c, sum(n) AS n FROM sk GROUP BY ALL),
 {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS up, sum(n) OVER (PARTITION BY {by}) AS total FROM {name}_m),
-{name} AS (SELECT {by}, max(total) AS n, min({low}) FILTER (WHERE up * 100 >= total * 5) AS p05,
-                  min({low}) FILTER (WHERE up * 100 >= total * 50) AS p50 FROM {name}_u GROUP BY {by})"""
+{name} AS (SELECT {by}, max(total) AS n, min({low}) FILTER (WHERE up * 100 >= total * 50) AS p50,
+                  min({low}) FILTER (WHERE up * 100 >= total * ({share})) AS upper FROM {name}_u GROUP BY {by})"""
 
 
 def _op2() -> str:
     best = lambda x: f"CASE WHEN o.n >= {rules.SUPPORT} THEN o.{x} WHEN l.n >= {rules.SUPPORT} THEN l.{x} ELSE a.{x} END"
-    slack = "CASE o.rule " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in rules.SLACK.items()) + " END"
-    tests = " AND ".join(f"coalesce({r} <= f_{r}, TRUE)" for r in rules.SLACK)
+    floor = "CASE o.rule " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in rules.FLOOR.items()) + " END"
+    tests = " AND ".join(f"coalesce({r} <= f_{r}, TRUE)" for r in rules.FLOOR)
     return "WITH " + ",".join([
         _STATISTICS.replace("{least}", str(rules.LEAST_WORDS)).replace("{most}", str(rules.MOST_REPEATED)), _SKETCH,
         _quantiles("own", "lang, source"), _quantiles("bylang", "lang"), _quantiles("everything", ""), f"""
-top AS (SELECT o.lang, o.source, o.rule, {best('p50')} + {rules.SPREADS} * greatest({best('p50')} - {best('p05')}, {slack}) AS top
+top AS (SELECT o.lang, o.source, o.rule, {best('p50')} + {rules.SPREADS} * greatest({best('upper')} - {best('p50')}, {floor}) AS top
         FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN everything a ON o.rule = a.rule),
-fence AS (SELECT lang, source, {', '.join(f"max(top) FILTER (WHERE rule = '{r}') AS f_{r}" for r in rules.SLACK)} FROM top GROUP BY lang, source)"""]) + f"""
+fence AS (SELECT lang, source, {', '.join(f"max(top) FILTER (WHERE rule = '{r}') AS f_{r}" for r in rules.FLOOR)} FROM top GROUP BY lang, source)"""]) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept
 FROM sb LEFT JOIN fence f ON sb.lang IS NOT DISTINCT FROM f.lang AND sb.source IS NOT DISTINCT FROM f.source"""
 

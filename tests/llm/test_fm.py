@@ -53,3 +53,13 @@ def test_repeated_id_counts_once(frame, spark):
     rows = [(d, f"text {d} {i % 2}") for d in ids for i in range(200)]
     labels = spark.createDataFrame([(d, 1, 0) for d in ids], "doc_id long, quality int, toxic int")
     assert 0 < len(fm.training_rows(frame(rows), labels)) <= len(ids)
+
+
+def test_clashing_n_chars(frame, spark):
+    """A column n_chars that holds no numbers counts as null."""
+    rows = [(i, f"text {i} " * 5) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    df = frame(rows).drop("n_chars")
+    plain = sorted(tuple(r) for r in fm.rate_quality(df, labels).collect())
+    for other in ("'many'", "array(1)", "map('a', 1)", "true", "cast(null as string)"):
+        assert sorted(tuple(r) for r in fm.rate_quality(df.selectExpr("*", f"{other} AS n_chars"), labels).collect()) == plain

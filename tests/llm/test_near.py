@@ -115,3 +115,26 @@ def test_shingle_rules():
     assert len(near.shingles(b"a b")) == len(near.shingles(b"A b c d e")) == 1
     assert len(near.shingles(b"a " * 100_000)) == 1
     assert near.signature(near.shingles(" ".join(map(str, range(50_000))).encode())).shape == (near.K,)
+
+
+def test_other_percentages(frame):
+    """The thresholds follow the percentage."""
+    assert (near.MATCHES, near.FINE_MATCHES) == (92, 401)
+    rows = small_corpus()
+    for percent in (70, 80, 95):
+        got = near.find_near(frame(rows), percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, percent)
+
+
+def test_null_and_repeated_ids_meet_their_own_text_only(frame):
+    """Different texts under one id, or without any, join with as many rows as there are."""
+    rows = [(None if i % 2 else 7, " ".join(f"w{i}x{j}" for j in range(30)) + " shared tail of five words") for i in range(120)]
+    df = frame(rows)
+    signed = near.settle(near.with_signatures(near.only(df, "doc_id", "text")).drop("text"), "signatures")
+    cls = near.classes(signed)
+    sets = near.full_sets(df, cls.select("cid", "rep_id", "rep_txt", "set"))
+    plan = sets._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64" in plan and sets.count() == 120
+    texts = near.only(df, "doc_id", "text").join(cls, near.F.col("doc_id").eqNullSafe(near.F.col("rep_id")) & (near.F.xxhash64("text") == near.F.col("rep_txt")))
+    assert texts.count() == 120
+    assert len(near.find_near(df).collect()) == 120

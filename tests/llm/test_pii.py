@@ -75,3 +75,24 @@ def test_em_finds_the_reliable_labelers():
     posterior, found = pii.reliabilities(counts)
     assert found["table"][1, 0, 2] > 0.9 and abs(found["table"][1, 4, 2] - 0.5) < 0.1
     assert posterior["secret", "yyynn"] > 0.9 > 0.1 > posterior["secret", "nnnyy"]
+
+
+def test_intervals_equal_a_scan_over_all_spans(spark):
+    """Spans accepted by interval search are those that overlap no span before them."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    cand = []
+    for i in range(3000):
+        s = rng.randrange(20_000)
+        cand.append({"kind": rng.choice(pii.KINDS), "s": s, "e": s + rng.randint(1, 25), "votes": "".join(rng.choice("yn") for _ in range(5)), "bin": rng.randrange(16), "base": i % 9 == 0})
+    w = np.random.default_rng(1).normal(1, 2, 4096)
+    found = spark.createDataFrame([(1, cand)], f"doc_id long, cand array<{pii.CANDIDATE}>")
+    spans = [(c["kind"], c["s"], c["e"]) for c in cand if c["base"]]
+    rest = [(float(w[pii.features(c["kind"], c["votes"], c["bin"])].sum()), (c["kind"], c["s"], c["e"])) for c in cand if not c["base"]]
+    for score, span in sorted(rest, key=lambda x: (-x[0], x[1][1], x[1][0])):
+        if score >= 0 and all(span[2] <= s or e <= span[1] for _, s, e in spans):
+            spans.append(span)
+    assert pii.choose(found, w).first().spans == pii.join_spans(spans)

@@ -48,6 +48,31 @@ def test_labelled_documents(spark):
     assert sum(r.kept for r in bad) <= 0.05 * len(bad)
 
 
+def planted(rule, usual, odd, n=400):
+    """Texts of one group whose ``rule`` is at most ``usual`` percent, and one at ``odd`` percent."""
+    def text(tag, percent):
+        if rule == "dup_lines":
+            lines = [f"w{tag}x{i} y{tag}z{i}" for i in range(100 - percent)]
+            return "\n".join(lines + lines[:1] * percent)
+        if rule == "repeats":
+            ws = [f"w{tag}x{i}" for i in range(300 - percent * 3)]
+            return " ".join(ws + [w for i in range(percent * 3 // 3) for w in ("a", "b", "c")])
+        return " ".join(f"w{i:04d}" for i in range(100)) + " " + "#" * (500 * percent // (100 - percent))
+
+    return [text(k, k % 11 * usual // 10) for k in range(n)] + [text("odd", odd)]
+
+
+def test_each_rule_follows_its_group(frame):
+    """In a group whose documents are all clean the odd one goes, in a group where such values
+    are usual the same one stays; nothing else is rejected."""
+    for rule, odd, usual in (("symbols", 9, 4), ("dup_lines", 40, 35), ("repeats", 30, 12)):
+        clean, wide = planted(rule, 0, odd), planted(rule, usual, odd)
+        rows = [(i, t, "en", "clean") for i, t in enumerate(clean)] + [(10_000 + i, t, "en", "wide") for i, t in enumerate(wide)]
+        got = {r.doc_id: r for r in rules.report(frame(rows)).collect()}
+        assert not any(r.base_failed for r in got.values()), rule
+        assert {d for d, r in got.items() if not r.kept} == {len(clean) - 1}, rule
+
+
 def test_buckets_are_close_and_ordered(spark):
     v = spark.range(0, 50_000).select("id", rules.bucket(F.col("id")).alias("b")).withColumn("f", rules.bucket_floor(F.col("b")))
     assert v.where("f > id or id - f > id / 32").count() == 0
@@ -61,7 +86,7 @@ def test_merged_sketches_give_the_quantiles_of_all(spark):
     got = rules.quantiles(sk, ["lang"]).first()
     values = sorted(r[3] for r in rows)
     assert got.n == len(values)
-    for p, x in ((5, got.p05), (50, got.p50)):
+    for p, x in ((50, got.p50), (75, got.p75), (90, got.p90)):
         true = values[-(-len(values) * p // 100) - 1]
         assert x <= true <= x * 33 / 32 + 1
 
