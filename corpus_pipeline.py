@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller (as
 ``run`` does) writes as Parquet and reads again as the next stage's documents.  When a
 stage begins, the result before it is written, so it first deletes the intermediate
-tables of the stages before it: disk holds those of one stage at a time.
+tables of the stages before it: disk holds those of one stage at a time.  Every run has
+its own list of them, and a stage never deletes those of its own or a later position, so
+the result of an earlier run can still be read while another run is under way.
 """
 
 from __future__ import annotations
@@ -17,25 +19,24 @@ from ratewise.llm.common import Scratch, documents
 from ratewise.session import remove_paths, shared_path
 
 
-_LEFT = Scratch()
-
-
-def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+def _stage(at: int, work: Callable[[DataFrame], DataFrame], left: list[Scratch]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _LEFT.clear(spark)
-        with _LEFT:
+        for scratch in left[:at]:
+            scratch.clear(spark)
+        with left[at]:
             return work(docs)
 
     return stage
 
 
-STAGES = [
-    ("quality_rules", _stage(rules.keep_good)),
-    ("exact_dedup", _stage(exact.drop_copies)),
-    ("minhash_near_dedup", _stage(near.drop_near)),
-    ("mix_sources", _stage(mixing.mix)),
-    ("best_fit_packing", _stage(packing.pack)),
-]
+def _stages() -> list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]]:
+    work = [("quality_rules", rules.keep_good), ("exact_dedup", exact.drop_copies), ("minhash_near_dedup", near.drop_near),
+            ("mix_sources", mixing.mix), ("best_fit_packing", packing.pack)]
+    left = [Scratch() for _ in work]
+    return [(name, _stage(at, f, left)) for at, (name, f) in enumerate(work)]
+
+
+STAGES = _stages()
 
 # Tokenizing and hash-ordered mixing can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -43,10 +44,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = documents(spark, sf_dir), None
-    for name, stage in STAGES[:-1]:
+    stages = _stages()
+    for name, stage in stages[:-1]:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove_paths(spark, [before])
         docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return stages[-1][1](spark, docs, sf_dir)
