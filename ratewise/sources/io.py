@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,30 +51,44 @@ CORRUPT = "_corrupt_record"
 
 def read_json(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
     """JSON lines with a fixed schema plus ``_corrupt_record``: the text of a line that
-    can't be read as a record, null for all others (absent fields read as null)."""
+    can't be read as it is, null for all others (absent fields read as null).
+
+    A record in which a field doesn't fit its type keeps its other fields, and the field
+    reads as null; a line that is no JSON object has no field at all."""
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     lines = spark.read.text(paths).where(F.trim("value") != "")
     return lines.select(F.from_json("value", full, {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
 
 
+def _no_object(line: Column) -> Column:
+    return line.isNotNull() & F.json_object_keys(line).isNull()
+
+
 def read_reviews(spark: SparkSession, paths, schema: T.StructType = REVIEW) -> DataFrame:
-    """JSON-lines reviews; malformed lines are left out here and listed by ``malformed_lines``."""
-    return read_json(spark, paths, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """JSON-lines reviews; lines that are no object are left out here and listed by
+    ``malformed_lines``, records with an ill-typed field stay and are listed by ``partial_lines``."""
+    return read_json(spark, paths, schema).where(~_no_object(F.col(CORRUPT))).drop(CORRUPT)
 
 
 def read_business(spark: SparkSession, paths, schema: T.StructType = BUSINESS) -> DataFrame:
     """Nested JSON businesses; malformed lines as in ``read_reviews``."""
-    return read_json(spark, paths, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return read_json(spark, paths, schema).where(~_no_object(F.col(CORRUPT))).drop(CORRUPT)
 
 
 def malformed_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
-    """The lines that can't be read as records (count them before trusting a load)."""
-    return read_json(spark, paths, schema).where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    """The lines that are no JSON object (count them before trusting a load)."""
+    return read_json(spark, paths, schema).where(_no_object(F.col(CORRUPT))).select(F.col(CORRUPT).alias("line"))
+
+
+def partial_lines(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
+    """The records that were read with some field as null because its value doesn't fit its type."""
+    line = F.col(CORRUPT)
+    return read_json(spark, paths, schema).where(line.isNotNull() & ~_no_object(line)).select(line.alias("line"))
 
 
 def load_report(spark: SparkSession, paths, schema: T.StructType) -> DataFrame:
-    """(n_read, n_malformed) of a JSON-lines load, in one pass."""
-    bad = F.col(CORRUPT).isNotNull()
+    """(n_read, n_malformed) of a JSON-lines load, in one pass; records read in part count as read."""
+    bad = _no_object(F.col(CORRUPT))
     return read_json(spark, paths, schema).agg(F.count_if(~bad).alias("n_read"), F.count_if(bad).alias("n_malformed"))
 
 
