@@ -23,8 +23,9 @@ from ratewise.session import materialise
 SPLIT = ["_path", "_file", "_start"]
 
 
-def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(line long from 0, value) of the concatenation of ``paths``."""
+def numbered_lines(spark: SparkSession, paths: list[str] | str, with_file: bool = False) -> DataFrame:
+    """(line long from 0, value) of the concatenation of ``paths``; ``with_file`` adds each
+    line's file as a third column."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     each = [spark.read.text(p).select(
         F.lit(i).alias("_path"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), "value")
@@ -34,7 +35,8 @@ def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     splits = rows.groupBy(*SPLIT).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(*SPLIT, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return rows.join(materialise(starts, "splits"), SPLIT).select((F.col("_id") + F.col("_shift")).alias("line"), "value")
+    return rows.join(materialise(starts, "splits"), SPLIT).select(
+        (F.col("_id") + F.col("_shift")).alias("line"), "value", *([F.col("_file").alias("file")] if with_file else []))
 
 
 def chunk_lines(lines: DataFrame, path: str, size: int = 50_000) -> str:
