@@ -1516,7 +1516,8 @@ def _add(module) -> None:
 from ratewise.plans import factors as _factors  # noqa: E402
 from ratewise.plans import grouping as _grouping  # noqa: E402
 from ratewise.plans import increments as _increments  # noqa: E402
+from ratewise.plans import places as _places  # noqa: E402
 from ratewise.plans import sketches as _sketches  # noqa: E402
 
-for _module in (_factors, _grouping, _increments, _sketches):
+for _module in (_factors, _grouping, _increments, _places, _sketches):
     _add(_module)
