@@ -1,9 +1,10 @@
 """Language identification by n-gram filters with a bit per language.
 
 Learning counts, over all training documents, in how many documents of each language an
-n-gram of letters occurs (words padded with a space, n from 1 to 3).  An n-gram belongs
-to a language if it occurs in at least ``SUPPORT`` of its documents and its document
-rate there is at least ``RATE`` of its highest rate in any language.  Memberships are
+n-gram of letters occurs (words padded with a space, n from 1 to 4).  An n-gram belongs
+to a language if it occurs in at least ``SUPPORT`` of its documents (in the share
+``SUPPORT_SHARE``, where a language has so few that this is less) and its document rate
+there is at least ``RATE`` of its highest rate in any language.  Memberships are
 written into bit-sliced Bloom filters: one table with a word of 64 language bits per
 slot, in as many slices as the languages need.  One lookup per hash function and
 an ``and`` give all languages that contain an n-gram.
@@ -12,8 +13,10 @@ A text's n-grams are looked up at once; per language the hits are counted, corre
 the share of hits that its filter gives by chance, and weighed by how few languages share
 the n-gram.  The language with most corrected hits wins; the score is its share.
 
-The counts pass through the driver only as the filters: their size is fixed by
-``SLOTS``, and each task writes the bits of its own n-grams, merged by bitwise or.
+The counts pass through the driver only as the filters: each task writes the bits of its own
+n-grams, merged by bitwise or.  A filter has ``SLOTS_PER_KEY`` slots or more for each n-gram of
+the language that has most, in a power of two up to ``MOST_SLOTS``; beyond that filters fill,
+and the correction for chance hits takes more.
 
 A null text or one without a letter is ``und`` with score 0, and so is a text when nothing was
 learned; ties go to the smallest language.  Null languages are not learned from.  Rows may
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 
 from ratewise.llm.common import col, crc_column, only, settle
 
-NGRAMS = (1, 2, 3)
-SLOTS = 1 << 20
-HASHES = 2
-SUPPORT = 3
+NGRAMS = (1, 2, 3, 4)
+HASHES = 3
+SLOTS_PER_KEY = 32
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
+SUPPORT, SUPPORT_SHARE = 3, 0.1
 RATE = 0.25
 FOLDS, HELD = 5, 0
 BLOCK = 1 << 18  # code points looked up at once
@@ -93,11 +97,11 @@ def document_keys(text: str) -> np.ndarray:
     return np.unique(np.concatenate([np.unique(k) for k in ngram_keys(text)]))
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
+def _places(keys: np.ndarray, slots: int) -> list[np.ndarray]:
     """Slots of the keys, one array per hash function."""
     a = keys.view(np.int64)
     b = (a >> 31) | 1
-    return [(a + k * b) & (SLOTS - 1) for k in range(HASHES)]
+    return [(a + k * b) & (slots - 1) for k in range(HASHES)]
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
@@ -132,33 +136,41 @@ def gram_counts(training: DataFrame) -> DataFrame:
 
 def members(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(key, lang) of the n-grams that belong to a language."""
-    rated = counts.where(F.col("n") >= SUPPORT).join(F.broadcast(sizes), "lang").withColumn("rate", F.col("n") / F.col("docs"))
+    needed = F.least(F.lit(SUPPORT), F.ceil(F.col("docs") * SUPPORT_SHARE))
+    rated = counts.join(sizes, "lang").where(F.col("n") >= needed).withColumn("rate", F.col("n") / F.col("docs"))
     best = F.max("rate").over(Window.partitionBy("key"))  # one row per language and key
     return rated.withColumn("best", best).where(F.col("rate") >= RATE * F.col("best")).select("key", "bit")
 
 
+def slots_for(belongs: DataFrame) -> int:
+    """A power of two that leaves ``SLOTS_PER_KEY`` slots for each member of the largest language."""
+    most = belongs.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return min(max(LEAST_SLOTS, 1 << (SLOTS_PER_KEY * most - 1).bit_length()), MOST_SLOTS)
+
+
 def filters(belongs: DataFrame, n_langs: int) -> np.ndarray:
-    """The bit-sliced filter table, (slices, SLOTS) words of 64 language bits."""
+    """The bit-sliced filter table, (slices, slots) words of 64 language bits."""
+    slots = slots_for(belongs)
     slices = max(1, -(-n_langs // 64))
     kind = "slot int, slice int, bits long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((slices, SLOTS), np.uint64)
+        table = np.zeros((slices, slots), np.uint64)
         for batch in batches:
             if batch.num_rows:
                 keys = np.asarray(batch.column("key")).astype(np.uint64)
                 bit = np.asarray(batch.column("bit"))
                 word = np.uint64(1) << (bit % 64).astype(np.uint64)
-                for at in _places(keys):
+                for at in _places(keys, slots):
                     np.bitwise_or.at(table, (bit // 64, at), word)
         which, slot = np.nonzero(table)
         if len(slot):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot.astype(np.int32)), pa.array(which.astype(np.int32)), pa.array(table[which, slot].view(np.int64))], names=["slot", "slice", "bits"])
 
-    table = np.zeros((slices, SLOTS), np.uint64)
+    table = np.zeros((slices, slots), np.uint64)
     rows = belongs.mapInArrow(run, kind).groupBy("slot", "slice").agg(F.bit_or("bits").alias("bits"))
-    got = rows.toArrow()  # at most SLOTS rows for each slice of 64 languages
+    got = rows.toArrow()  # at most a row a slot for each slice of 64 languages
     if got.num_rows:
         at = (np.asarray(got.column("slice")), np.asarray(got.column("slot")))
         table[at] = np.asarray(got.column("bits")).view(np.uint64)
@@ -171,13 +183,13 @@ class Model:
     def __init__(self, langs: list[str], table: np.ndarray) -> None:
         self.langs, self.table = langs, table
         filled = np.array([np.count_nonzero(table[b // 64] >> np.uint64(b % 64) & np.uint64(1)) for b in range(len(langs))])
-        self.chance = (filled / SLOTS) ** HASHES  # hits that a filter gives for unknown n-grams
+        self.chance = (filled / table.shape[1]) ** HASHES  # hits that a filter gives for unknown n-grams
         # Few languages need few bits a slot, and a small table stays in the cache.
         self.small = table[0].astype(np.uint8 if len(langs) <= 8 else np.uint16) if len(langs) <= 16 else None
 
     def _sets(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sets, n): the sets of languages that hold an n-gram, as rows of words, and how many n-grams have each."""
-        places = _places(keys)
+        places = _places(keys, self.table.shape[1])
         slices = [self.small] if self.small is not None else list(self.table)
         words = [np.bitwise_and.reduce([np.take(s, at) for at in places]) for s in slices]
         if self.small is not None:
@@ -213,10 +225,10 @@ def learn(docs: DataFrame) -> Model:
     sizes = training.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy("lang").collect()  # one row per language
     langs = [r["lang"] for r in sizes]
     if not langs:
-        return Model([], np.zeros((1, SLOTS), np.uint64))
+        return Model([], np.zeros((1, LEAST_SLOTS), np.uint64))
     known = docs.sparkSession.createDataFrame([(r["lang"], r["docs"], k) for k, r in enumerate(sizes)], "lang string, docs long, bit int")
     counts = settle(gram_counts(training), "gram-counts")
-    return Model(langs, filters(members(counts, known), len(langs)))
+    return Model(langs, filters(settle(members(counts, known), "members"), len(langs)))
 
 
 def settle_training(docs: DataFrame) -> DataFrame:
@@ -226,7 +238,7 @@ def settle_training(docs: DataFrame) -> DataFrame:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS words of 8 bytes per 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # up to MOST_SLOTS words of 8 bytes per 64 languages
     kind = "doc_id long, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
