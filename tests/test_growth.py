@@ -75,6 +75,15 @@ def test_pca_multiplies_narrow_blocks_only(spark, widths, monkeypatch):
     assert max(widths) <= 4
 
 
+def test_pca_counts_the_row_without_an_id(spark):
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 6, (12, 6)) * (rng.random((12, 6)) < 0.7)
+    a[0] *= 4
+    e = entries(spark, a).withColumn("row_ix", F.when(F.col("row_ix") > 0, F.col("row_ix")))
+    got = sparse_pca.pca_entries(e, 12, 2, block=3)
+    assert np.allclose(got.values, np.sort(np.linalg.eigvalsh(np.cov(a.T)))[::-1][:2], rtol=1e-6)
+
+
 def test_ratings_of_a_side_are_not_shuffled_again(spark):
     df = spark.createDataFrame([(u, i, 1.0) for u in range(20) for i in range(5)], "user_id int, business_id int, residual double")
     side = als.deal(df, "user_id", "business_id", "residual", 10, 10)
