@@ -1,8 +1,8 @@
 """Divergence between the sources of a language, from in-mapper stripes.
 
 A stripe is a term's document frequency and its count in every source.  A task folds whole
-documents into stripes in a hash table; a table beyond ``HELD`` cells spills, as sorted
-rows (lang, term, df, sources, counts).  The spills are dealt by (lang, term), sorted and
+documents into stripes in flat arrays of numbered cells; beyond ``HELD`` cells they spill,
+as sorted rows (lang, term, df, sources, counts).  The spills are dealt by (lang, term), sorted and
 merged as a stream, one stripe at a time, and a merged stripe with enough documents gives
 its cells (lang, term, source, count, total).
 
@@ -27,8 +27,10 @@ are exact for fewer than 9e15 occurrences in a group.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,9 @@ from ratewise.llm.common import settle, utf8
 
 LEAST_DOCS = 10
 TOP_TERMS = 10
-HELD = 1_000_000  # cells of a task's hash table before it spills
+HELD = 1_000_000  # cells that a task holds before it spills
 PIECE = 4_000_000  # bytes of a text folded at a time
+ROWS = 500  # texts taken from a batch at a time
 SALTS = 64
 CELLS = 1_000_000  # cells of a numpy block
 
@@ -66,49 +69,84 @@ def pieces(data: bytes) -> Iterator[list[bytes]]:
         at = end + 1
 
 
-def _spill(seen: dict[str, Counter], counts: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
-    """The hash table as sorted stripes."""
-    for lang, df in seen.items():
-        stripes: dict[bytes, list] = {t: [[], []] for t in sorted(df)}
-        for (of, source), own in counts.items():
-            if of == lang:
-                for term, n in own.items():
-                    cell = stripes[term]
-                    cell[0].append(source)
-                    cell[1].append(n)
-        terms = list(stripes)
+class _Stripes:
+    """Stripes of one language: terms and sources are numbered, cells are (term, source, n,
+    documents) in flat arrays, so that a cell takes tens of bytes and not a Python object."""
+
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = defaultdict(count().__next__)
+        self.sources: dict[str, int] = defaultdict(count().__next__)
+        self.raw = [array("q"), array("q"), array("q"), array("q")]  # term, n; source and number of terms of each document
+        self.cells = (np.zeros(0, np.int64),) * 3  # key, n, documents; by key
+
+    def add(self, source: str, found: Counter) -> None:
+        term, n, of, size = self.raw
+        term.extend(map(self.terms.__getitem__, found))
+        n.extend(found.values())
+        of.append(self.sources[source])
+        size.append(len(found))
+
+    def fold(self) -> None:
+        """The documents added since the last time go into the cells."""
+        if not self.raw[0]:
+            return
+        term, n, of, size = (np.array(x, np.int64) for x in self.raw)
+        self.raw = [array("q") for _ in self.raw]
+        key = np.concatenate([self.cells[0], term << 32 | np.repeat(of, size)])
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        key = key[order[first]]
+        added = (np.add.reduceat(np.concatenate(x)[order], first) for x in ((self.cells[1], n), (self.cells[2], np.ones(len(n), np.int64))))
+        self.cells = (key, *added)
+
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The stripes in order of their terms."""
+        self.fold()
+        terms, names = sorted(self.terms), pa.array(list(self.sources), pa.string())
+        rank = np.empty(len(terms), np.int64)
+        rank[np.fromiter(map(self.terms.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+        row = rank[self.cells[0] >> 32]
+        order = np.argsort(row, kind="stable")
+        row = row[order]
         for at in range(0, len(terms), 50_000):
             some = terms[at:at + 50_000]
-            own = [stripes[t] for t in some]
-            ends = pa.array(np.cumsum([0] + [len(s) for s, _ in own]).astype(np.int32))
+            lo, hi = np.searchsorted(row, [at, at + len(some)])
+            pick = order[lo:hi]
+            ends = pa.array(np.searchsorted(row[lo:hi], np.arange(at, at + len(some) + 1)).astype(np.int32))
+            df = np.add.reduceat(self.cells[2][pick], ends.to_numpy()[:-1])
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()),
-                pa.array([df[t] for t in some], pa.int64()),
-                pa.ListArray.from_arrays(ends, pa.array([x for s, _ in own for x in s], pa.string())),
-                pa.ListArray.from_arrays(ends, pa.array([x for _, n in own for x in n], pa.int64()))],
+                pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array(df),
+                pa.ListArray.from_arrays(ends, names.take(pa.array(self.cells[0][pick] & 0xFFFFFFFF))),
+                pa.ListArray.from_arrays(ends, pa.array(self.cells[1][pick]))],
                 names=["lang", "term", "df", "sources", "counts"])
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole documents into stripes; spills when the table is full."""
-    seen: dict[str, Counter] = {}
-    counts: dict[tuple[str, str], Counter] = {}
-    cells = 0
+    table: dict[str, _Stripes] = defaultdict(_Stripes)
+    waiting = 0  # a document's cells, before they are added up
+
+    def spill() -> Iterator[pa.RecordBatch]:
+        while table:
+            lang, stripes = table.popitem()
+            yield from stripes.rows(lang)
+
     for batch in batches:
-        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, source, data in zip(langs, sources, utf8(batch.column(2)), strict=True):
-            own = counts.setdefault((lang, source), Counter())
-            df = seen.setdefault(lang, Counter())
-            before, distinct = len(own), set()
-            for terms in pieces(data):
-                own.update(terms)
-                distinct.update(terms)
-            df.update(distinct)
-            cells += len(own) - before
-            if cells > HELD:
-                yield from _spill(seen, counts)
-                seen, counts, cells = {}, {}, 0
-    yield from _spill(seen, counts)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            for lang, source, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2)), strict=True):
+                found: Counter = Counter()
+                for terms in pieces(data):
+                    found.update(terms)
+                table[lang].add(source, found)
+                waiting += len(found)
+                if waiting > HELD // 4:
+                    for stripes in table.values():
+                        stripes.fold()
+                    waiting = 0
+                    if sum(len(stripes.cells[0]) for stripes in table.values()) > HELD:
+                        yield from spill()
+    yield from spill()
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, pa.Table]:
