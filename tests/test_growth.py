@@ -122,3 +122,30 @@ def test_city_reviews_file_is_compressed(spark):
     names = [n for n in os.listdir(path.removeprefix("file:")) if n.startswith("part-")]
     assert names and all(n.endswith(".json.gz") for n in names)
     assert io.read_reviews(spark, path).where(F.col("review_id").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_row_lists_join_no_row_by_key(spark, heavy, monkeypatch):
+    """Short keys are numbered where they meet and heavy ones by the range sort: the same lists,
+    and no row is sent to a join with its key's first number."""
+    monkeypatch.setattr(matrix, "HEAVY", heavy)
+    pairs = [(b, u, float(u[-1]) / 2) for b in ("b1", "b2", None) for u in ("u1", "u2", "u3", "u3")] + [("b3", "u1", 1.0), ("b3", None, 2.0)]
+    df = spark.createDataFrame([(b, u, s) for b, u, s in pairs], "business_id string, user_id string, stars double").repartition(3)
+    rows = matrix.rows_by_item(df)
+    got = sorted(map(tuple, rows.collect()), key=repr)
+    want = []
+    for b in {b for b, _, _ in pairs}:
+        own = sorted([(u, s) for x, u, s in pairs if x == b], key=lambda p: (p[0] is not None, p[0] or "", p[1]), reverse=True)
+        want += [(b, i, u, s) for i, (u, s) in enumerate(own)]
+    assert got == sorted(want, key=repr)
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert max(len(r.pairs) for r in matrix.row_blocks(rows, "business_id", "user_id", "stars", 2).collect()) == 2
+
+
+def test_many_keys_are_joined_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "MANY_KEYS", 2)
+    df = spark.createDataFrame([("u1", "b1", 1.0), (None, "b2", 2.0), ("u2", None, 3.0)], "user_id string, business_id string, stars double")
+    e = matrix.rating_entries(df)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((x.row_ix, x.col_ix, x.value) for x in e.collect()) == [(0, 0, 3.0), (1, 1, 1.0), (2, 2, 2.0)]
